@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -180,10 +181,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def _hit(block: Block, seeds: dict[tuple[bytes, ...], list[tuple[int, int]]], threshold: float):
+    sizes = tuple(sorted({len(g) for g in seeds}))
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and any(m[1] >= threshold for m in matches(words_of(t.encode()), block, seeds, sizes)) for t in texts], dtype=bool)
+
+    return hit
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs in which no item reaches threshold, all columns as they are. Only the text goes through Python."""
-    import pandas as pd
-
     need(docs, "text")
     text_batches(docs.sparkSession)
     names, out = docs.columns, docs
@@ -193,11 +202,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
             continue
         counted = docs.select("text").mapInArrow(_frequencies(grams), "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         seeds = block.seeds({tuple(bytes(r.gram).split()): r.n for r in counted.toLocalIterator()})
-        sizes = tuple(sorted({len(g) for g in seeds}))
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, block: Block = block, seeds: dict = seeds, sizes: tuple = sizes) -> pd.Series:
-            return pd.Series([bool(t) and any(m[1] >= threshold for m in matches(words_of(t.encode()), block, seeds, sizes)) for t in texts], dtype=bool)
-
-        out = out.where(~hit("text"))
+        out = out.where(~_hit(block, seeds, threshold)("text"))
     return out.select(*names)
