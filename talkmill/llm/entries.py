@@ -35,12 +35,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkmill.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkmill.llm.quality import judge_documents
 
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkmill.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkmill.llm.token_files import encode_documents
 
@@ -66,6 +78,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from talkmill.llm import mixing
+    from talkmill.llm import licences, mixing
 
-    return {"op3_mix_sources": mixing.SQL}
+    return {"op3_mix_sources": mixing.SQL, "op4_licence_rules": licences.sql()}
