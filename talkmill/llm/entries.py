@@ -53,6 +53,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkmill.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkmill.llm.token_files import encode_documents
 
