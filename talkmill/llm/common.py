@@ -73,6 +73,14 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    had = {c.lower() for c in df.columns}
+    while name.lower() in had:
+        name += "_"
+    return name
+
+
 #: Regular expression class of the white space that separates words.
 WS = r"\x20\x09-\x0D"
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import components, need, rebatched, staged, text_batches
+from talkmill.llm.common import components, fresh, need, rebatched, staged, text_batches
 
 BITS, HALF_RADIUS, SEED, SHINGLE = 3, 1, 42, 3
 #: Home points of a part of a shard, at most; most leaves of a tree's top (fuller ones are split by hash); sampled points per leaf.
@@ -147,10 +147,8 @@ def close_pairs(home: np.ndarray, seen: np.ndarray, tree: int) -> Iterator[tuple
             part = q[k : k + step]
             x = su[part][:, None] ^ hu[p][None, :]
             ok = np.bitwise_count(x) <= BITS
-            if tree == 0:
-                ok &= x != 0
-            else:
-                ok &= np.bitwise_count(x >> np.uint64(32)) > HALF_RADIUS
+            near = np.bitwise_count(x >> np.uint64(32)) <= HALF_RADIUS
+            ok &= near & (x != 0) if tree == 0 else ~near
             i, j = np.nonzero(ok)
             if len(i):
                 yield part[i], p[j]
@@ -282,8 +280,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = staged(fingerprints(docs), "prints")
     kinds = link(prints).withColumnRenamed("fp", "__fp")
     judged = prints.where("doc_id is not null").join(kinds, F.col("fp") == F.col("__fp"))
-    out = staged(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc_id")).distinct(), "copies")
-    kept = docs.join(out, docs["doc_id"].cast("long") == out["__doc_id"], "left_anti")
+    key = fresh(docs, "__doc_id")
+    out = staged(judged.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
+    kept = docs.join(out, F.col("doc_id").cast("long") == F.col(key), "left_anti")
     again = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if again:
         named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
