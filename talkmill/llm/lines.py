@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import components, need, staged, text_batches
+from talkmill.llm.common import components, fresh, need, staged, text_batches
 
 TAU, MIN_CHARS = 2, 24
 _SPACE = " \t\n\x0b\x0c\r"
@@ -273,6 +273,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the repeated lines cut from the texts. Rows of one id are treated alike: a place is cut if it is repeated in all of them."""
     places, _ = repeated_lines(docs)
     cut = places.where("pos >= 0").groupBy("doc_id", "pos").agg(F.min("repeated").alias("r")).where("r").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__cut"))
-    cut = staged(cut, "cut")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__cut", F.array().cast("array<int>")), i)), "\n")
-    return docs.join(cut, docs["doc_id"].cast("long").eqNullSafe(cut["__id"]), "left").withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    key, at = fresh(docs, "__id"), fresh(docs, "__cut")
+    cut = staged(cut, "cut").select(F.col("__id").alias(key), F.col("__cut").alias(at))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(at, F.array().cast("array<int>")), i)), "\n")
+    return docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left").withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from talkmill.llm.common import need, staged, word_count
 
 WEIGHTS = (5, 2, 1)
+#: What the mix adds; columns of these names are replaced.
+NEW = ("size", "source_size", "target", "taken")
 #: Rows that one hash range of the largest source should hold on average.
 RANGE_ROWS = 20_000
 
@@ -80,7 +82,7 @@ def mix(df: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most:
         rest = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     else:
         rest = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    return rows.withColumn("taken", F.when(F.col("size") > 0, epochs * F.col("size") + rest).otherwise(0).cast("long")).select(*df.columns, "size", "source_size", "target", "taken")
+    return rows.withColumn("taken", F.when(F.col("size") > 0, epochs * F.col("size") + rest).otherwise(0).cast("long")).select(*[c for c in df.columns if c not in NEW], *NEW)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import need, text_batches
+from talkmill.llm.common import fresh, need, text_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_upper", "n_marks", "n_digits", "n_lines", "n_distinct", "n_bare")
 SCHEMA = "doc_id long, " + ", ".join(f"{s} long" for s in STATS)
@@ -228,4 +228,5 @@ def keep_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([stats_of(b"" if t is None else t.encode()) for t in texts], columns=list(STATS), dtype="int64")
 
-    return docs.withColumn("__st", of("text")).where(~base_failed("__st.") & verdict(rules, "__st.")).select(*docs.columns)
+    st = fresh(docs, "__st")
+    return docs.withColumn(st, of("text")).where(~base_failed(f"{st}.") & verdict(rules, f"{st}.")).select(*docs.columns)
