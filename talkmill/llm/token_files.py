@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,15 @@ from talkmill.llm.common import need, new_path, staged, text_batches
 
 END_ID = 2
 #: Pieces that a worker remembers; then it starts anew.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 1_000_000
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on which PIECE agrees with the split pattern of the vocabulary: ASCII without odd controls, Latin letters, some punctuation.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞€]*")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _KEPT: dict[str, Encoder] = {}
+#: Byte -> character of byte-level vocabularies: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class Encoder:
@@ -42,6 +46,8 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
         pre = self.library.pre_tokenizer
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # the memo is the cache
         # only a byte-level pre-tokenizer with the standard pattern, no prefix space and no normalizer splits as PIECE does
         self.by_piece = self.library.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True)
 
@@ -54,24 +60,26 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces by the library's model alone, which takes bytes as the characters of _BYTES: a piece needs no further splitting."""
+        tokenize = self.library.model.tokenize
+        return [
+            array("I", [t.id for t in tokenize(p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in new
+        ]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         end = END_ID.to_bytes(4, "little")
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         get = self.memo.__getitem__
-        out = []
-        for t in texts:
-            if not self.by_piece or not (t.isascii() and t.isprintable()) and not PLAIN.fullmatch(t):
-                out.append(self._ids([t])[0] + end)
-                continue
-            pieces = PIECE.findall(t)
-            try:
-                out.append(b"".join(map(get, pieces)) + end)
-            except KeyError:
-                new = [p for p in dict.fromkeys(pieces) if p not in self.memo]
-                self.memo.update(zip(new, self._ids(new), strict=True))
-                out.append(b"".join(map(get, pieces)) + end)
-        return out
+        split = [PIECE.findall(t) if self.by_piece and (t.isascii() and t.isprintable() or PLAIN.fullmatch(t)) else None for t in texts]
+        met: set[str] = set()
+        for pieces in split:
+            if pieces:
+                met.update(pieces)
+        new = list(met.difference(self.memo))
+        self.memo.update(zip(new, self._pieces(new), strict=True))
+        return [(self._ids([t])[0] if pieces is None else b"".join(map(get, pieces))) + end for t, pieces in zip(texts, split, strict=True)]
 
 
 def _encode(file: str):
@@ -82,8 +90,8 @@ def _encode(file: str):
         encoder, row = Encoder.of(file), 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for k in range(0, len(texts), 64):
-                ids = encoder.encode(texts[k : k + 64])
+            for k in range(0, len(texts), 256):
+                ids = encoder.encode(texts[k : k + 256])
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
