@@ -49,7 +49,7 @@ def write_parts(lines: DataFrame, key: Column, parts: int, folder: str, stem: st
 
     staging = f"{folder}/_staging_{stem}"
     shutil.rmtree(staging, ignore_errors=True)
-    lines.select("value", shard(key, parts).alias("p")).where("p is not null").repartition(parts, "p").write.partitionBy("p").text(staging)
+    lines.select("value", F.when(key.isNotNull(), shard(key, parts)).alias("p")).where("p is not null").repartition(parts, "p").write.partitionBy("p").text(staging)
     out = []
     try:
         for k in range(parts):

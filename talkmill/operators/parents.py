@@ -69,23 +69,22 @@ def attach(children: DataFrame, parents: DataFrame) -> DataFrame:
     return joined.withColumn("parent_payload", F.coalesce(own, F.col("__last"))).drop("__kind", "__id", "__by", "__last")
 
 
-@F.pandas_udf("string")
-def spliced(value: pd.Series, kind: pd.Series, key: pd.Series, payload: pd.Series) -> pd.Series:
-    """The record's JSON with the member parent; the rest of its text stays as it is."""
-
-    def one(v, k, i, p):
-        if p is None or v is None:
-            return v
-        head = v.rstrip()
-        member = {"kind": k, "id": i} | json.loads(p)
-        body = head[:-1].rstrip()
-        return body + ("" if body.endswith("{") else ",") + '"parent":' + json.dumps(member, ensure_ascii=False, separators=(",", ":")) + "}"
-
-    return pd.Series([one(*r) for r in zip(value, kind, key, payload, strict=True)], dtype=object)
+def _splice(v: str | None, kind: str | None, key: str | None, payload: str | None) -> str | None:
+    """A record's JSON with the member parent; the rest of its text stays as it is."""
+    if payload is None or v is None:
+        return v
+    body = v.rstrip()[:-1].rstrip()
+    member = json.dumps({"kind": kind, "id": key} | json.loads(payload), ensure_ascii=False, separators=(",", ":"))
+    return body + ("" if body.endswith("{") else ",") + '"parent":' + member + "}"
 
 
 def attached_json(attached: DataFrame) -> DataFrame:
     """attached with value: the record's JSON and, if resolved, its parent."""
+
+    @F.pandas_udf("string")
+    def spliced(value: pd.Series, kind: pd.Series, key: pd.Series, payload: pd.Series) -> pd.Series:
+        return pd.Series([_splice(*r) for r in zip(value, kind, key, payload, strict=True)], dtype=object)
+
     return attached.withColumn("value", spliced("value", "parent_kind", "parent_key", "parent_payload"))
 
 

@@ -48,7 +48,11 @@ def _parts(df: DataFrame, path: str, columns: list[str]) -> tuple[str, list[Path
     by = [c for c in columns if c in df.columns]
     staging = f"{path}.{uuid.uuid4().hex}.parts"
     rows = df.orderBy(*by) if by else df
-    rows.select("value").write.text(staging)
+    try:
+        rows.select("value").write.text(staging)
+    except BaseException:
+        shutil.rmtree(staging, ignore_errors=True)
+        raise
     return staging, sorted(p for p in Path(staging).glob("part-*") if p.stat().st_size)
 
 
