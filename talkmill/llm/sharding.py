@@ -91,10 +91,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range
     below: dict[int, tuple[int, int]] = {}
     best: dict[int, int] = {}
     open_ = set(range(1, shards))
-    total = 0
     while True:
         parts = _count(keys, at)
-        total, rows, nth = 0, 0, {}
+        total = rows = 0
         spans = []  # (bytes before, bytes after, least, most)
         had = {p: x for p, *x in parts}
         for t in range(len(at) + 1):
@@ -106,8 +105,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range
                 below[at[t]] = (total, rows)
         if not total:
             return [TOP - 1] * (shards - 1), {}
-        if not nth:
-            nth = {j: total * j / shards for j in range(1, shards)}
+        nth = {j: total * j / shards for j in range(1, shards)}
         allowed = tolerance * total / shards
         known = sorted(below.items(), key=lambda x: x[1][0])
         sizes = np.array([c for _, (c, _) in known], dtype=float)
@@ -125,7 +123,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range
         wide = [x for a, z, lo, hi in spans if z - a > 2 * range_bytes for x in _refined(lo, hi, min(probes, (z - a) // range_bytes + 1)) if x not in below]
         if not open_ and not wide:
             return sorted(best.values()), below
-        at = sorted(more | set(wide))
+        # with all boundaries so far, so that the next spans lie within these
+        at = sorted(more.union(wide, below))
 
 
 def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str, shards: int = 24, tolerance: float = 0.005, probes: int = 32, range_bytes: int = 16 << 20) -> DataFrame:
@@ -133,7 +132,8 @@ def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str
 
     hash_col orders the rows first (ties: id_col, then an ordinal), range_bytes bounds the bytes that one task of the exchange sorts.
     A null id or hash counts as the least number, a null size as zero. Rows equal in every column are interchangeable and may be
-    split. An empty table stays empty. Columns of df of other names pass through; names starting with __ are reserved.
+    split. An empty table stays empty. Columns of df pass through, shard and slot are replaced if there;
+    the names __h, __i, __s, __o, __p, __part, __shard and __base are reserved.
     """
     need(df, id_col, size_col)
     least = F.lit(-(1 << 63)).cast("long")
@@ -169,7 +169,7 @@ def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str
     w = Window.partitionBy("__part").orderBy("__h", "__i", "__o")
     placed = keys.withColumn("__p", place("__h", "__i", "__o")).withColumns({"__part": F.col("__p.part"), "__shard": F.col("__p.shard"), "__base": F.col("__p.base")})
     slot = (F.col("__base") + F.row_number().over(w) - 1).cast("long")
-    return placed.select(*df.columns, F.col("__shard").alias("shard"), slot.alias("slot"))
+    return placed.select(*[c for c in df.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.005) -> DataFrame:
