@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import need, text_batches
 
-N, WINDOW, BLOCK_ITEMS, THRESHOLD = 3, 4, 20_000, 0.4
+N, WINDOW, BLOCK_ITEMS, MATCH, THRESHOLD = 3, 4, 20_000, 2, 0.4
 _TO_SPACE = bytes.maketrans(b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
@@ -31,14 +31,14 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman over word numbers (match 1, mismatch -1, gap -1): best score, and the end of its passage part, and the number of item words seen by then."""
+    """Smith-Waterman over word numbers (match 2, mismatch -1, gap -1): best score, and the end of its passage part, and the number of item words seen by then."""
     m = len(passage)
     at = np.arange(m + 1)
     row = np.zeros(m + 1, np.int32)
     best, end, top = 0, 0, 0
     for i, w in enumerate(item):
         new = np.zeros(m + 1, np.int32)
-        new[1:] = np.maximum(row[:-1] + np.where(passage == w, 1, -1), row[1:] - 1)
+        new[1:] = np.maximum(row[:-1] + np.where(passage == w, MATCH, -1), row[1:] - 1)
         np.maximum(new, 0, out=new)
         # gaps in the item: the best earlier cell of this row, less one a step
         row = np.maximum.accumulate(new + at) - at
@@ -121,9 +121,9 @@ def matches(ws: list[bytes], block: Block, seeds: dict[tuple[bytes, ...], list[t
         for a, z in passages(found[k], len(item), len(ws)):
             seen = np.array([block.number.get(w, -1) for w in ws[a:z]], np.int64)
             s, end, top = align(item, seen)
-            if s / len(item) > best[0]:
+            if s / (MATCH * len(item)) > best[0]:
                 first = max(0, a + end - top)
-                best = (s / len(item), first, a + end - first)
+                best = (s / (MATCH * len(item)), first, a + end - first)
         out.append((block.items[k], *best))
     return out
 
@@ -163,7 +163,7 @@ def blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[Blo
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document and item whose best alignment reaches threshold of the item's words: doc_id, item_id, score, first_word, n_words.
 
-    A score is matches less mismatches and gaps over the item's words, so an exact copy has 1. Whole texts are searched; null and
+    A score is twice the matches less mismatches and gaps, over twice the item's words, so an exact copy has 1. Whole texts are searched; null and
     empty texts match nothing; repeated rows give repeated results; ties go to the earliest passage.
     """
     need(docs, "doc_id", "text")

@@ -53,7 +53,7 @@ def test_alignment_is_smith_waterman():
         h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
-                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
         assert D.align(a, b)[0] == h.max()
 
 
