@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import need, staged, word_count
+from talkmill.llm.common import fresh, need, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 #: What the mix adds; columns of these names are replaced.
@@ -57,7 +57,17 @@ def mix(df: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most:
     need(df, "doc_id", "source")
     if cut not in ("words", "documents"):
         raise ValueError(f"cut must be words or documents, not {cut!r}")
-    keyed = df.withColumns({"size": size, "__k": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), "__t": tie if tie is not None else F.lit(0)})
+    rows = _placed(df, size, weights, most, seed, cut, tie)
+    return rows.withColumn("taken", F.when(F.col("size") > 0, F.col("__epochs") * F.col("size") + F.col("__rest")).otherwise(0).cast("long")).select(*[c for c in df.columns if c not in NEW], *NEW)
+
+
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _placed(df: DataFrame, size: Column, weights: tuple[float, ...], most: float, seed: str, cut: str, tie: Column | None) -> DataFrame:
+    """Rows with size, source_size, target, __epochs (times that the whole source is taken) and __rest (what the last, partial one takes)."""
+    keyed = df.withColumns({"size": size, "__k": _key(seed), "__t": tie if tie is not None else F.lit(0)}).drop("source_size", "target", "taken")
     keyed = staged(keyed, "sized")
     sizes = keyed.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("__n"))
     # the number of ranges is a power of 16: a range is a prefix of the key's hexadecimal digits
@@ -82,7 +92,37 @@ def mix(df: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most:
         rest = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     else:
         rest = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    return rows.withColumn("taken", F.when(F.col("size") > 0, epochs * F.col("size") + rest).otherwise(0).cast("long")).select(*[c for c in df.columns if c not in NEW], *NEW)
+    return rows.withColumns({"__epochs": epochs, "__rest": rest})
+
+
+#: Sources up to which the table of cuts, a row of about 100 bytes each, is broadcast.
+BROADCAST_SOURCES = 50_000
+
+
+def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """The rows of docs as often as the mix takes them, whole documents with all columns.
+
+    Where a source's partial epoch ends is one key in its order, so a row's copies follow from its own key and a table with a row a
+    source; the texts are not exchanged. Documents without words are taken never. Rows equal in id, size and text go together.
+    """
+    need(docs, "doc_id", "source", "text")
+    tie = F.xxhash64("text")
+    narrow = docs.select("doc_id", "source", size.alias("__words"), tie.alias("__h"))
+    rows = _placed(narrow, F.col("__words"), weights, most, seed, "documents", F.col("__h"))
+    place = F.struct(F.col("__k").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"), F.col("__h").alias("h"))
+    last = F.max(F.when((F.col("__rest") > 0) & (F.col("size") > 0), place))
+    cuts = staged(rows.groupBy(F.col("source").alias("source")).agg(F.max("__epochs").cast("int").alias("epochs"), last.alias("last")), "cuts")
+    cut = fresh(docs, "__cut")
+    cuts = cuts.select(F.struct("source", "epochs", "last").alias(cut))
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col(f"{cut}.source")))
+    words = size
+    mine = F.struct(_key(seed).alias("k"), F.col("doc_id").alias("d"), words.alias("s"), tie.alias("h"))
+    more = F.when(mine <= F.col(f"{cut}.last"), 1).otherwise(0)
+    times = F.when(words > 0, F.col(f"{cut}.epochs") + F.coalesce(more, F.lit(0))).otherwise(0)
+    each = fresh(docs, "__each")
+    return joined.withColumn(each, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -84,6 +84,20 @@ def test_mix(spark, docs, rows, cut):
         assert abs(taken[s] - target[s]) <= (1 if cut == "words" else largest[s] / 2 + 1)
 
 
+def test_mixed_rows_are_the_documents_cut(docs):
+    from collections import Counter
+
+    from talkmill.llm.common import word_count
+
+    words = word_count(F.col("text"))
+    taken = mixing.mix(docs.withColumn("__h", F.xxhash64("text")), words, cut="documents", tie=F.col("__h"))
+    want = Counter()
+    for r in taken.where("taken > 0").collect():
+        want[r.doc_id, r.text] += r.taken // r["size"]
+    out = mixing.mixed(docs, words)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+
+
 def test_mix_is_the_same_again_and_in_ranges(spark, docs, monkeypatch):
     key = lambda df: sorted(map(str, df.collect()))
     one = key(mixing.mix_documents(docs))
