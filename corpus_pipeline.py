@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import fresh, staged, table, word_count
+from talkmill.llm.common import staged, table, word_count
 from talkmill.llm.decontamination import clean_documents
 from talkmill.llm.entries import tokenizer_file
-from talkmill.llm.mixing import mix
+from talkmill.llm.mixing import mixed
 from talkmill.llm.near_duplicates import keep_one
 from talkmill.llm.quality import keep_documents
 from talkmill.llm.token_files import encode_documents
@@ -37,16 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it; a document that it takes twice is two rows."""
-    # the texts stay where they are: the decision is made over narrow rows and joined back by id
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("__words"), F.xxhash64("text").alias("__h"))
-    taken = mix(narrow, F.col("__words"), cut="documents", tie=F.col("__h"))
-    copies = taken.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("n"))
-    key, times = fresh(docs, "__doc_id"), fresh(docs, "__times")
-    # rows that share an id share its copies; the stages before this one leave one row an id
-    of = staged(copies.groupBy(F.col("doc_id").alias(key)).agg(F.greatest(F.lit(1), F.round(F.avg("n")).cast("int")).alias(times)), "copies")
-    joined = docs.join(of, F.col("doc_id").eqNullSafe(F.col(key)))
-    each = fresh(docs, "__each")
-    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    return mixed(docs, word_count(F.col("text")))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
