@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner drop the shuffle files of results that are staged by now; it goes by the driver's garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for batches of very long texts, and the code at hand in the workers."""
     ship(spark)

@@ -11,16 +11,15 @@ come out. These are verified by banded bit-parallel edit distance over the lines
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import components, fresh, need, staged, text_batches
+from talkmill.llm.common import components, fresh, need, release, staged, text_batches
 
 TAU, MIN_CHARS = 2, 24
 _SPACE = " \t\n\x0b\x0c\r"
@@ -195,13 +194,7 @@ def within(a: list[str], b: list[str], tau: int = TAU) -> np.ndarray:
         vp, vn = (hn | ~((d0 >> one) | hp)) & full, (d0 >> one) & hp
     empty = ls == 0
     done[empty] = lt[empty]
-    return done <= tau
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets the cleaner drop the shuffle files of what was staged."""
-    gc.collect()
-    spark._jvm.System.gc()
+    return (done <= tau) & (lt - ls <= tau)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -215,11 +208,11 @@ def links(docs: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * TAU
     met = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near)
     pairs = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    _release(spark)
+    release(spark)
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    lines = texts.mapInArrow(_texts, "id long, line string").join(wanted, F.col("id") == F.col("w"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = texts.mapInArrow(_texts, "id long, line string").join(wanted.hint("merge"), F.col("id") == F.col("w"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     lines = staged(lines, "lines")
-    _release(spark)
+    release(spark)
     both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
     @F.pandas_udf("boolean")
