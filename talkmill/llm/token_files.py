@@ -25,7 +25,7 @@ from talkmill.llm.common import need, new_path, staged, text_batches
 
 END_ID = 2
 #: Pieces that a worker remembers; then it starts anew.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 700_000
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on which PIECE agrees with the split pattern of the vocabulary: ASCII without odd controls, Latin letters, some punctuation.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞€]*")
@@ -36,6 +36,19 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
+class Memo(dict[str, bytes]):
+    """Ids of pieces; a new one is encoded by the library's model alone, which takes bytes as the characters of _BYTES: it needs no further splitting."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize = tokenize
+
+    def __missing__(self, p: str) -> bytes:
+        raw = p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTES)
+        self[p] = out = array("I", [t.id for t in self.tokenize(raw)]).tobytes()
+        return out
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, with the end id, by the tokenizer of a file."""
 
@@ -44,7 +57,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.library.model.tokenize)
         pre = self.library.pre_tokenizer
         if hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # the memo is the cache
@@ -60,26 +73,12 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces by the library's model alone, which takes bytes as the characters of _BYTES: a piece needs no further splitting."""
-        tokenize = self.library.model.tokenize
-        return [
-            array("I", [t.id for t in tokenize(p.replace(" ", "\u0120") if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in new
-        ]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         end = END_ID.to_bytes(4, "little")
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        get = self.memo.__getitem__
-        split = [PIECE.findall(t) if self.by_piece and (t.isascii() and t.isprintable() or PLAIN.fullmatch(t)) else None for t in texts]
-        met: set[str] = set()
-        for pieces in split:
-            if pieces:
-                met.update(pieces)
-        new = list(met.difference(self.memo))
-        self.memo.update(zip(new, self._pieces(new), strict=True))
-        return [(self._ids([t])[0] if pieces is None else b"".join(map(get, pieces))) + end for t, pieces in zip(texts, split, strict=True)]
+        get, split = self.memo.__getitem__, PIECE.findall
+        return [(b"".join(map(get, split(t))) if self.by_piece and (t.isascii() and t.isprintable() or PLAIN.fullmatch(t)) else self._ids([t])[0]) + end for t in texts]
 
 
 def _encode(file: str):
