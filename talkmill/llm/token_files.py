@@ -116,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str) -> None:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, row, ids and the file's name; filters on doc_id are pushed to the stripes."""
-    return spark.read.schema("doc_id long, row long, ids array<int>").orc(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return spark.read.schema("doc_id long, row long, ids array<int>").orc(path).select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
