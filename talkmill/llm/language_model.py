@@ -29,13 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import fold_of, need, staged, text_batches
+from talkmill.llm.common import fold_of, need, read_staged, release, remove, staged, text_batches, write_staged
 
 DEPTH = 4
 #: Prior mass by context length, from 1; longer contexts have the last.
 MASS = (16.0, 8.0, 4.0, 1.0)
 #: Tokens of a chunk of documents, of a tier-1 shard on average, and of a tier-2 shard.
-CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 2_000_000, 2_500_000, 4_000_000
+CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 2_000_000, 1_200_000, 2_500_000
+#: Tokens of the block of runs that a tier-2 shard looks up at once.
+ASKED_TOKENS = 500_000
 END = xxhash.xxh64_intdigest(b"", 7)
 
 
@@ -56,7 +58,24 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=9).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind)
 
 
-CHUNK = "chunk long, ids binary, nulls binary, held binary, ends binary, tokens binary, words binary, counts binary"
+def _join(parts: list[bytes]) -> bytes:
+    return b"".join(struct.pack("<q", len(z)) + z for z in parts)
+
+
+def _parts(block: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(block):
+        n = struct.unpack_from("<q", block, at)[0]
+        out.append(block[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _rows(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+CHUNK = "chunk long, ids binary, nulls binary, held binary, ends binary, tokens binary, words binary, counts binary, n long"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +97,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(tokens[train], minlength=len(number))
         nulls = np.array([i is None for i in ids])
         row = [base + k, np.array([i or 0 for i in ids], np.int64).tobytes(), nulls.tobytes(), np.array(held).tobytes(), ends.astype(np.int64).tobytes(), _pack(tokens.astype(np.uint32)), words.tobytes(), counts.astype(np.int64).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=[c.split()[0] for c in CHUNK.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]], pa.array([len(tokens)], pa.int64())], names=[c.split()[0] for c in CHUNK.split(", ")])
 
     for b in batches:
         for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.cast(b.column(2), pa.binary()).to_pylist(), strict=True):
@@ -97,13 +116,53 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            w, n = np.frombuffer(w, np.int64), np.frombuffer(n, np.int64)
-            for k in range(0, len(w), 100_000):
-                m = len(w[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c)), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(w[k : k + m]), pa.array(n[k : k + m])], names=["chunk", "at", "word", "n"])
+def _words(parts: int):
+    """A block a chunk and part of the vocabulary: places in the chunk's words, the words, their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                w, n = np.frombuffer(w, np.uint64), np.frombuffer(n, np.int64)
+                part = (w >> np.uint64(20)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = []
+                for k in range(parts):
+                    at = order[cuts[k] : cuts[k + 1]]
+                    if len(at):
+                        rows.append((k, c, _join([_pack(at.astype(np.uint32)), _pack(w[at]), _pack(n[at].astype(np.uint32))])))
+                for k in range(0, len(rows), 64):
+                    yield _rows(rows[k : k + 64], ("part", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()))
+
+    return run
+
+
+def _rank(parts: int, shards: int):
+    """A part of the vocabulary: every chunk's words with rank (frequent words low: the parts deal the ranks out in turn) and total count;
+    rows without chunk sum the part up and name its most frequent words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        blocks = [(c, _parts(x)) for c, x in zip(t.column("chunk").to_pylist(), t.column("block").to_pylist(), strict=True)]
+        words = [_unpack(x[1], np.uint64) for _, x in blocks]
+        kinds, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([_unpack(x[2], np.uint32) for _, x in blocks]), len(kinds)).astype(np.int64)
+        rank = np.empty(len(kinds), np.int64)
+        order = np.lexsort((kinds, -total))
+        rank[order] = np.arange(len(kinds)) * parts + part + 1
+        if int(rank.max(initial=0)) >= 1 << 32:
+            raise ValueError("more than 2^32 words")
+        rows, at = [], 0
+        for (c, x), w in zip(blocks, words, strict=True):
+            k = inverse[at : at + len(w)]
+            at += len(w)
+            rows.append((c, _join([x[0], _pack(rank[k].astype(np.uint32)), _pack(total[k])]), 0, 0, 0))
+        rows.append((None, None, int(total.sum()), int((total > 0).sum()), None))
+        often = total > total.sum() / (4 * shards)
+        rows += [(None, None, 0, int(c), int(r)) for r, c in zip(rank[often], total[often], strict=True)]
+        return pa.Table.from_batches([_rows(rows, ("chunk", pa.int64()), ("block", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("hot", pa.int64()))])
+
+    return run
 
 
 def _shard_of(c1: np.ndarray, c2: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
@@ -118,8 +177,11 @@ class Chunk:
 
     def __init__(self, row: dict):
         self.chunk = row["chunk"]
-        at = np.frombuffer(row["ranks"], np.uint32)
-        seen = np.frombuffer(row["totals"], np.int64)
+        blocks = [_parts(b) for b in row["blocks"]]
+        places = np.concatenate([_unpack(b[0], np.uint32) for b in blocks])
+        at, seen = np.empty(len(places), np.uint32), np.empty(len(places), np.int64)
+        at[places] = np.concatenate([_unpack(b[1], np.uint32) for b in blocks])
+        seen[places] = np.concatenate([_unpack(b[2], np.int64) for b in blocks])
         local = _unpack(row["tokens"], np.uint32)
         self.t, self.c = at[local], seen[local]
         self.ends = np.frombuffer(row["ends"], np.int64)
@@ -158,8 +220,10 @@ def _positions(hot: np.ndarray, shards: int):
                 p = at[order[cuts[s] : cuts[s + 1]]]
                 if len(p):
                     h = x.heldt[p]
-                    cols = [np.diff(p, prepend=0).astype(np.uint32), h.astype(np.uint8), *[b[p] for b in back], x.t[p]]
-                    rows.append((s, x.chunk, b"".join(struct.pack("<q", len(z)) + z for z in map(_pack, [*cols, x.c[p[h | (x.place[p] < DEPTH)]]]))))
+                    # a shard has few of the first context tokens: these travel as numbers into a list
+                    firsts, first = np.unique(back[0][p], return_inverse=True)
+                    cols = [np.diff(p, prepend=0).astype(np.uint32), h.astype(np.uint8), firsts, first.astype(np.uint32), *[b[p] for b in back[1:]], x.t[p]]
+                    rows.append((s, x.chunk, _join([*map(_pack, cols), _pack(x.c[p[h | (x.place[p] < DEPTH)]])])))
             for k in range(0, len(rows), 64):
                 a, c, d = zip(*rows[k : k + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["shard", "chunk", "block"])
@@ -167,15 +231,6 @@ def _positions(hot: np.ndarray, shards: int):
     return run
 
 
-def _parts(block: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(block):
-        n = struct.unpack_from("<q", block, at)[0]
-        out.append(block[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def log_p(pair: np.ndarray, context: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
     m = np.array(MASS)[np.clip(length, 1, len(MASS)) - 1]
     return np.log10((pair + m * p) / (context + m))
@@ -205,9 +260,9 @@ def _settle(hot: np.ndarray, total: int, kinds: int):
         owner, seen = [], []
         for k, block in enumerate(shard.column("block").to_pylist()):
             parts = _parts(block)
-            kinds_ = [np.uint32, np.uint8, *[np.uint32] * (DEPTH + 1), np.int64]
-            got = [_unpack(p, t) for p, t in zip(parts, kinds_, strict=True)]
-            got[0] = np.cumsum(got[0], dtype=np.int64)
+            types = [np.uint32, np.uint8, *[np.uint32] * (DEPTH + 2), np.int64]
+            step, h, firsts, first, *got = [_unpack(p, t) for p, t in zip(parts, types, strict=True)]
+            got = [np.cumsum(step, dtype=np.int64), h, firsts[first], *got]
             n = len(got[0])
             owner.append(np.full(n, k, np.int32))
             for c, g in zip(cols, got, strict=True):
@@ -236,6 +291,9 @@ def _settle(hot: np.ndarray, total: int, kinds: int):
             g = np.cumsum(fresh) - 1
             group.append(g)
             ctx.append(np.bincount(g, train, g[-1] + 1)[g] * (x > 0))
+        # a hot token's contexts are spread over shards; that it is a context of the corpus is known
+        is_hot = np.isin(back[0], hot) if len(hot) else np.zeros(n, bool)
+        ctx[0] = np.where(is_hot, np.maximum(ctx[0], 1), ctx[0])
         size = np.bincount(group[-1])[group[-1]]
         deep = (back[-1] > 0) & (ctx[-1] > 0) & (size > 1)
         length = np.zeros(n, np.int64)
@@ -244,7 +302,6 @@ def _settle(hot: np.ndarray, total: int, kinds: int):
         # the whole history of a training position is in the corpus; if it is DEPTH or longer and not deep, it is there once
         ask = ~deep & (held | (back[-1] == 0))
         value = np.zeros(n)
-        is_hot = np.isin(back[0], hot) if len(hot) else np.zeros(n, bool)
         p = _unigram(c, total, kinds)
         for k in range(1, DEPTH + 1):
             q = np.nonzero(ask & (length == k) & ~(is_hot if k == 1 else False))[0]
@@ -285,73 +342,92 @@ def _settle(hot: np.ndarray, total: int, kinds: int):
     return run
 
 
-RUN = "chunk long, doc int, run long, run2 long, train int, asks int, tokens binary, counts binary"
-DOC = "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+OUT = "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, run long, run2 long, train int, asks int, tokens binary, counts binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def _runs_and_scores(total: int, kinds: int, runs: bool):
-    """Of chunks with what tier 1 found of them: the runs of deep positions, or each document's base score and settled score."""
+def _batch(schema: str, n: int, **columns) -> pa.RecordBatch:
+    """A batch of the schema; columns not given are null."""
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], _TYPES[t]) if k in columns else pa.nulls(n, _TYPES[t]) for k, t in names], names=[k for k, _ in names])
 
-    def one(x: Chunk, row: dict) -> pa.RecordBatch:
-        deep = np.zeros(len(x.t), bool)
-        for b in row["deep"] or ():
-            deep[np.cumsum(_unpack(b, np.uint32), dtype=np.int64)] = True
-        if runs:
-            edge = np.diff(deep.astype(np.int8), prepend=0, append=0)
-            start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-            # a document's first places aren't deep, so runs don't cross documents
-            cols: list[list] = [[] for _ in range(8)]
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                t = np.ascontiguousarray(x.t[s - DEPTH : e])
-                train, whole = not x.heldt[s], x.place[s] == DEPTH
-                raw = t.tobytes()
-                seeds = (11, 12) if train and not whole else (13, 14) if train else (15, 16)
-                for c, v in zip(cols, (x.chunk, int(x.doc[s]), *(struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(raw, z)))[0] for z in seeds), int(train), int(not train or whole), raw, x.c[s - DEPTH : e].astype(np.int64).tobytes()), strict=True):
-                    c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in RUN.split(", ")])
+
+def _runs_and_scores(total: int, kinds: int):
+    """Of chunks with what tier 1 found of them: each document's base score and settled score, and the runs of deep positions."""
+
+    def scores(x: Chunk, row: dict) -> pa.RecordBatch:
         p = _unigram(x.c, total, kinds)
         value = np.zeros(len(x.t))
         first = x.place == 0
         value[first] = np.log10(p[first])
         sure = ~x.heldt & (x.place >= DEPTH)
-        one_ = np.ones(int(sure.sum()))
-        value[sure] = log_p(one_, one_, x.place[sure], p[sure])
+        one = np.ones(int(sure.sum()))
+        value[sure] = log_p(one, one, x.place[sure], p[sure])
         for a, v in zip(row["at"] or (), row["value"] or (), strict=True):
             value[np.cumsum(_unpack(a, np.uint32), dtype=np.int64)] = np.frombuffer(v, float)
         m = len(x.ends)
-        sums = [np.add.reduceat(v, x.starts) for v in ((x.c > 0).astype(np.int64), np.log10(p), value)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, x.chunk)), pa.array(np.arange(m, dtype=np.int32)), pa.array(x.ids, pa.int64()), pa.array(x.held), pa.array(x.ends - x.starts), *map(pa.array, sums)], names=[c.split()[0] for c in DOC.split(", ")])
+        known, base, score = (np.add.reduceat(v, x.starts) for v in ((x.c > 0).astype(np.int64), np.log10(p), value))
+        return _batch(OUT, m, chunk=np.full(m, x.chunk), doc=np.arange(m, dtype=np.int32), doc_id=x.ids, held_out=x.held, n_tokens=x.ends - x.starts, n_known=known, base=base, score=score)
+
+    def runs(x: Chunk, row: dict) -> Iterator[pa.RecordBatch]:
+        deep = np.zeros(len(x.t) + 1, np.int8)
+        for b in row["deep"] or ():
+            deep[np.cumsum(_unpack(b, np.uint32), dtype=np.int64)] = 1
+        edge = np.diff(deep, prepend=0)
+        start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        # a document's first places aren't deep, so runs don't cross documents
+        cols: dict[str, list] = {k: [] for k in ("doc", "run", "run2", "train", "asks", "tokens", "counts")}
+        signed = struct.Struct("<q")
+        for s, e in zip(start.tolist(), end.tolist(), strict=True):
+            raw = x.t[s - DEPTH : e].tobytes()
+            train, whole = not x.heldt[s], bool(x.place[s] == DEPTH)
+            seed = 11 if train and not whole else 13 if train else 15
+            values = int(x.doc[s]), signed.unpack(xxhash.xxh64_digest(raw, seed))[0], signed.unpack(xxhash.xxh64_digest(raw, seed + 1))[0], int(train), int(not train or whole), raw, x.c[s - DEPTH : e].astype(np.int64).tobytes() if not train or whole else b""
+            for c, v in zip(cols.values(), values, strict=True):
+                c.append(v)
+        for k in range(0, len(start), 50_000):
+            part = {n: c[k : k + 50_000] for n, c in cols.items()}
+            yield _batch(OUT, len(part["doc"]), chunk=[x.chunk] * len(part["doc"]), **part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                yield one(Chunk(row), row)
+                x = Chunk(row)
+                yield scores(x, row)
+                yield from runs(x, row)
 
     return run
 
 
-def suffix_ranks(t: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the positions 0 to len(t) by the tokens before them, backwards; left: how many tokens position i may look back."""
+def suffix_ranks(t: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The positions in the order of the tokens before them, backwards; left: how many tokens a position may look back.
+
+    Prefix doubling: a rank is the first place of a group of equal contexts; only groups that may still split are sorted again.
+    """
     n = len(left)
-    rank = np.zeros(n, np.int64)
-    one = left > 0
-    rank[one] = t[np.nonzero(one)[0] - 1].astype(np.int64) + 1
-    step = 1
-    while True:
-        far = np.zeros(n, np.int64)
-        ok = left > step
-        far[ok] = rank[np.nonzero(ok)[0] - step] + 1
-        order = np.lexsort((far, rank))
-        new = np.zeros(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (far[order][1:] != far[order][:-1])
-        got = np.empty(n, np.int64)
-        got[order] = np.cumsum(new)
-        rank = got
+    at = np.arange(n)
+    key = np.zeros(n, np.uint64)
+    for k, ok in ((1, left > 0), (2, left > 1)):
+        key[ok] |= t[at[ok] - k].astype(np.uint64) << np.uint64(32 * (2 - k))
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    act, ks, step = at, key[order], 1
+    del key
+    while len(act):
+        flag = np.concatenate([[True], ks[1:] != ks[:-1]])
+        starts = np.nonzero(flag)[0]
+        rank[order[act]] = act[np.maximum.accumulate(np.where(flag, np.arange(len(act)), 0))]
         step *= 2
-        if step >= int(left.max(initial=0)) or (n and rank[order[-1]] == n - 1):
-            return order, rank
+        keep = (np.diff(starts, append=len(act)) > 1) & (np.maximum.reduceat(left[order[act]], starts) > step)
+        act = act[np.repeat(keep, np.diff(starts, append=len(act)))]
+        if len(act):
+            i = order[act]
+            far = np.where(left[i] > step, rank[i - np.minimum(step, i)] + np.int64(1), 0)
+            key = rank[i].astype(np.uint64) << np.uint64(32) | far.astype(np.uint64)
+            s = np.argsort(key)
+            order[act], ks = i[s], key[s]
+    return order
 
 
 class Corpus:
@@ -361,11 +437,12 @@ class Corpus:
 
     def __init__(self, texts: list[np.ndarray]):
         # text k has len + 1 positions; a gap token between texts keeps positions apart
-        self.t = np.concatenate([np.append(x, 0) for x in texts]).astype(np.uint64) if texts else np.zeros(0, np.uint64)
-        sizes = np.array([len(x) + 1 for x in texts])
+        gap = np.zeros(1, np.uint32)
+        self.t = np.concatenate([y for x in texts for y in (x, gap)]) if texts else np.zeros(0, np.uint32)
+        sizes = np.array([len(x) + 1 for x in texts], np.int64)
         self.first = np.cumsum(sizes) - sizes
-        self.left = np.arange(len(self.t)) - np.repeat(self.first, sizes)
-        mixed = (self.t + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        self.left = (np.arange(len(self.t)) - np.repeat(self.first, sizes)).astype(np.int32)
+        mixed = (self.t.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         up = np.full(len(self.t) + 1, self.B, np.uint64)
         up[:1] = 1
@@ -380,103 +457,134 @@ class Corpus:
         return (self.sum[i] - self.sum[i - length]) * self.down[i - length]
 
 
-def _common(c: Corpus, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the longest common context of positions i and j, by binary search."""
-    lo, hi = np.zeros(len(i), np.int64), np.minimum(c.left[i], c.left[j])
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            return lo
-        mid = (lo + hi + 1) // 2
-        same = c.hash(i, mid) == c.hash(j, mid)
-        lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
-
-
-def _range(c: Corpus, order: np.ndarray, at: np.ndarray, i: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range of the suffix array, about places at, whose contexts share the length tokens before i; by binary search on both sides."""
-    want = c.hash(i, length)
-
-    def fits(k: np.ndarray) -> np.ndarray:
-        j = order[k]
-        ok = c.left[j] >= length
-        return ok & (c.hash(j, np.where(ok, length, 0)) == want)
-
-    lo, hi = np.zeros(len(i), np.int64), at.copy()
-    while (lo < hi).any():
-        mid = (lo + hi) // 2
-        f = fits(mid)
-        lo, hi = np.where((lo < hi) & ~f, mid + 1, lo), np.where((lo < hi) & f, mid, hi)
-    a = lo
-    lo, hi = at.copy(), np.full(len(i), len(order) - 1)
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        f = fits(mid)
-        lo, hi = np.where((lo < hi) & f, mid, lo), np.where((lo < hi) & ~f, mid - 1, hi)
-    return a, lo + 1
-
-
-def longest(corpus: list[np.ndarray], weight: list[int], asked: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per asked text and position from DEPTH on: longest context of the weighted corpus, its count, its count before the text's token."""
-    c = Corpus([*corpus, *asked])
-    if not asked:
-        return []
-    w = np.zeros(len(c.t), np.int64)
-    for k, x in enumerate(weight):
-        w[c.first[k] : c.first[k] + len(corpus[k]) + 1] = x
-    order, _ = suffix_ranks(c.t, c.left)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    ws = w[order]
-    upto = np.concatenate([[0], np.cumsum(ws)])
-    known = np.where(ws > 0, np.arange(len(order)), -1)
-    left_known = np.maximum.accumulate(known)
-    right_known = np.minimum.accumulate(np.where(ws > 0, np.arange(len(order)), len(order))[::-1])[::-1]
-    firsts = c.first[len(corpus) :]
-    q = np.concatenate([np.arange(f + DEPTH, f + len(x)) for f, x in zip(firsts, asked, strict=True)])
-    at = place[q]
-    best = np.zeros(len(q), np.int64)
-    for side in (left_known, right_known):
-        k = side[at]
-        ok = (k >= 0) & (k < len(order))
-        best[ok] = np.maximum(best[ok], _common(c, q[ok], order[k[ok]]))
-    a, z = _range(c, order, at, q, best)
-    context = upto[z] - upto[a]
-    a, z = _range(c, order, place[q + 1], q + 1, best + 1)
-    pair = upto[z] - upto[a]
-    ends = np.cumsum([len(x) - DEPTH for x in asked])
-    return [(best[e - len(x) + DEPTH : e], context[e - len(x) + DEPTH : e], pair[e - len(x) + DEPTH : e]) for e, x in zip(ends, asked, strict=True)]
-
-
-def _search(shards: int):
-    """A tier-2 shard: its corpus runs, and blocks of the runs to score."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        rows.sort(key=lambda r: (r["run"], r["run2"]))
-        corpus = [r for r in rows if not r["visit"]]
-        asked = [r for r in rows if r["visit"]]
-        runs, runs2, out = [], [], []
-        block: list[dict] = []
-        size = 0
-
-        def flush() -> None:
-            got = longest([np.frombuffer(r["tokens"], np.uint32) for r in corpus], [r["weight"] for r in corpus], [np.frombuffer(r["tokens"], np.uint32) for r in block])
-            for r, (best, context, pair) in zip(block, got, strict=True):
-                runs.append(r["run"])
-                runs2.append(r["run2"])
-                out.append(b"".join(struct.pack("<q", len(z)) + z for z in map(_pack, (best, context, pair))))
-
-        for r in asked:
-            block.append(r)
-            size += len(r["tokens"]) // 4
-            if size >= SHARD_TOKENS:
-                flush()
-                block, size = [], 0
-        if block:
-            flush()
-        return pa.table({"run": pa.array(runs, pa.int64()), "run2": pa.array(runs2, pa.int64()), "got": pa.array(out, pa.binary())})
-
-    return run
+def _farthest(holds, bound: np.ndarray) -> np.ndarray:
+    """For each row the greatest d from 0 to bound for which holds(rows, d), which is monotone and true for 0: steps double, then halve."""
+    lo, hi = np.zeros(len(bound), np.int64), bound + 1
+    act, step = np.nonzero(bound > 0)[0], 1
+    while len(act):
+        d = np.minimum(step, bound[act])
+        ok = holds(act, d)
+        lo[act[ok]] = d[ok]
+        hi[act[~ok]] = d[~ok]
+        act = act[ok & (d < bound[act])]
+        step *= 2
+    act = np.nonzero(hi - lo > 1)[0]
+    while len(act):
+        d = (lo[act] + hi[act]) // 2
+        ok = holds(act, d)
+        lo[act[ok]] = d[ok]
+        hi[act[~ok]] = d[~ok]
+        act = act[hi[act] - lo[act] > 1]
+    return lo
+
+
+class Index:
+    """A suffix array of weighted texts over the contexts of DEPTH tokens and more, and where the contexts of each DEPTH tokens lie in it."""
+
+    def __init__(self, texts: list[np.ndarray], weights: list[int]):
+        self.c = c = Corpus(texts)
+        order = suffix_ranks(c.t, c.left)
+        self.order = order[c.left[order] >= DEPTH]
+        h = c.hash(self.order, np.full(len(self.order), DEPTH))
+        starts = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
+        by = np.argsort(h[starts])
+        self.keys, self.lo, self.hi = h[starts][by], starts[by], np.append(starts[1:], len(h))[by]
+        weight = np.repeat(np.array(weights, np.int64), [len(x) + 1 for x in texts])
+        self.upto = np.concatenate([[0], np.cumsum(weight[self.order])])
+
+    def common(self, q: Corpus, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common context of q's positions i and the index's j, which share DEPTH tokens."""
+        bound = np.minimum(q.left[i], self.c.left[j]).astype(np.int64) - DEPTH
+        return DEPTH + _farthest(lambda r, d: q.hash(i[r], d + DEPTH) == self.c.hash(j[r], d + DEPTH), bound)
+
+    def counts(self, q: Corpus, i: np.ndarray, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(longest context before i that the index has, its weight), or the weight of the need tokens before i; 0 below DEPTH.
+
+        Binary search by the order of contexts for the place of i, then for the ends of the range about it that shares the length.
+        """
+        best, weight = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        if not len(self.keys) or not len(i):
+            return best, weight
+        h = q.hash(i, np.full(len(i), DEPTH))
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        row = np.nonzero(self.keys[k] == h)[0]
+        first, last = self.lo[k[row]], self.hi[k[row]]
+        lo, hi, act = first.copy(), last.copy(), np.arange(len(row))
+        near = np.zeros(len(row), np.int64)
+        top = np.zeros(len(row), np.int64)
+        while len(act):
+            mid = (lo[act] + hi[act]) // 2
+            j, p = self.order[mid], i[row[act]]
+            n = self.common(q, p, j)
+            more = n > top[act]
+            top[act[more]], near[act[more]] = n[more], mid[more]
+            q_ends, c_ends = n == q.left[p], n == self.c.left[j]
+            right = ~q_ends & (c_ends | (self.c.t[np.maximum(j - n - 1, 0)] < q.t[np.maximum(p - n - 1, 0)]))
+            lo[act[right]] = mid[right] + 1
+            hi[act[~right]] = mid[~right]
+            act = act[lo[act] < hi[act]]
+        best[row] = top
+        length = top if need is None else need[row]
+        ok = np.nonzero(top >= length)[0]
+        row, near, length, first, last = row[ok], near[ok], length[ok], first[ok], last[ok]
+        want = q.hash(i[row], length)
+
+        def fits(r: np.ndarray, at: np.ndarray) -> np.ndarray:
+            j = self.order[at]
+            same = self.c.left[j] >= length[r]
+            return same & (self.c.hash(j, np.where(same, length[r], 0)) == want[r])
+
+        down = _farthest(lambda r, d: fits(r, near[r] - d), near - first)
+        up = _farthest(lambda r, d: fits(r, near[r] + d), last - 1 - near)
+        weight[row] = self.upto[near + up + 1] - self.upto[near - down]
+        return best, weight
+
+    def longest(self, asked: list[np.ndarray], whole: list[bool]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per asked text and position from DEPTH on: longest context, its weight, and its weight before the text's own token.
+
+        Of whole texts it is known that all before a position is the longest context; a shard that has less counts nothing.
+        """
+        if not asked:
+            return []
+        q = Corpus(asked)
+        sizes = np.array([len(x) - DEPTH for x in asked])
+        i = np.concatenate([np.arange(f + DEPTH, f + len(x)) for f, x in zip(q.first, asked, strict=True)])
+        full = np.repeat(np.array(whole), sizes)
+        best, context = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        context[full] = self.counts(q, i[full], q.left[i[full]].astype(np.int64))[1]
+        best[full] = np.where(context[full] > 0, q.left[i[full]], 0)
+        best[~full], context[~full] = self.counts(q, i[~full])
+        pair = np.zeros(len(i), np.int64)
+        hit = np.nonzero(context)[0]
+        pair[hit] = self.counts(q, i[hit] + 1, best[hit] + 1)[1]
+        cuts = np.cumsum(sizes)[:-1]
+        return list(zip(np.split(best, cuts), np.split(context, cuts), np.split(pair, cuts), strict=True))
+
+
+def _search(t: pa.Table) -> pa.Table:
+    """A tier-2 shard: an index of its corpus runs, and what it has for the runs to score, a block at a time."""
+    visit = np.array(t.column("visit").to_pylist())
+    corpus, asked = t.filter(pa.array(visit == 0)), t.filter(pa.array(visit == 1))
+    index = Index([np.frombuffer(x, np.uint32) for x in corpus.column("tokens").to_pylist()], corpus.column("weight").to_pylist())
+    runs: list[int] = []
+    runs2: list[int] = []
+    out: list[bytes] = []
+    at = 0
+    while at < asked.num_rows:
+        size, end = 0, at
+        sizes = pc.binary_length(asked.column("tokens").slice(at, 100_000)).to_pylist()
+        while end < asked.num_rows and end - at < len(sizes) and size < 4 * ASKED_TOKENS:
+            size += sizes[end - at]
+            end += 1
+        b = asked.slice(at, end - at)
+        at = end
+        found = index.longest([np.frombuffer(x, np.uint32) for x in b.column("tokens").to_pylist()], [bool(w) for w in b.column("train").to_pylist()])
+        for r, r2, f in zip(b.column("run").to_pylist(), b.column("run2").to_pylist(), found, strict=True):
+            if f[1].any():
+                runs.append(r)
+                runs2.append(r2)
+                out.append(np.concatenate(f).tobytes())
+    return pa.table({"run": pa.array(runs, pa.int64()), "run2": pa.array(runs2, pa.int64()), "got": pa.array(out, pa.binary())})
 
 
 def _combine(total: int, kinds: int):
@@ -488,7 +596,7 @@ def _combine(total: int, kinds: int):
             for r in b.to_pylist():
                 best = context = pair = None
                 for g in r["gots"]:
-                    x, y, z = (_unpack(p, np.int64) for p in _parts(g))
+                    x, y, z = np.frombuffer(g, np.int64).reshape(3, -1)
                     if best is None:
                         best, context, pair = x, y.copy(), z.copy()
                         continue
@@ -517,64 +625,43 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     spark = docs.sparkSession
     text_batches(spark)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), fold) == held_out).alias("held"), "text")
-    chunks = staged(named.mapInArrow(_chunks, CHUNK), "chunks")
-    # counts and ranks of all words: one row per chunk and word is exchanged, not one per token
-    of_chunk = chunks.select("chunk", "words", "counts").mapInArrow(_words, "chunk long, at int, word long, n long")
-    of_chunk = staged(of_chunk, "words")
-    vocabulary = staged(of_chunk.groupBy("word").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "word").withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "vocabulary")
-    sums = vocabulary.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).orderBy("part").collect()
-    total, kinds, n_words = sum(r.c for r in sums), sum(r.v for r in sums), sum(r.n for r in sums)
-    if not n_words:
+    chunks_path = write_staged(named.mapInArrow(_chunks, CHUNK), "chunks")
+    chunks = read_staged(spark, chunks_path)
+    # counts and ranks of all words: a chunk's words are exchanged once each, in blocks, not a row per token
+    n_tokens = chunks.agg(F.sum("n")).first()[0] or 0
+    if not n_tokens:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    offset, starts = 0, []
-    for r in sums:
-        starts += [F.lit(r.part), F.lit(offset)]
-        offset += r.n
-    vocabulary = vocabulary.select(F.col("word").alias("w"), "c", (F.element_at(F.create_map(*starts), F.col("part")) + F.col("nth") + 1).alias("rank"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TOKENS))
-    # tokens that follow or precede so many others that their contexts are split: fewer than 4 times the shards
-    hot = np.array([r["rank"] for r in vocabulary.where(F.col("c") > total / (4 * shards)).select("rank").collect()], np.uint32)
-    ranked = of_chunk.join(vocabulary, F.col("word") == F.col("w")).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "rank", "c"))).alias("m"))
-    ranked = ranked.select(F.col("chunk").alias("k"), F.col("m.rank").alias("ranks"), F.col("m.c").alias("totals"))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                r, c = (b.column(z).slice(k, 1).flatten().to_numpy() for z in (1, 2))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([r.astype(np.uint32).tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary())], names=["k", "ranks", "totals"])
-
-    ranked = ranked.mapInArrow(narrow, "k long, ranks binary, totals binary")
-    full = staged(chunks.drop("words", "counts").join(ranked, F.col("chunk") == F.col("k")).drop("k"), "ranked")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // RANGE_TOKENS))
+    of_parts = chunks.select("chunk", "words", "counts").mapInArrow(_words(shards), "part int, chunk long, block binary")
+    ranks_path = write_staged(of_parts.groupBy("part").applyInArrow(_rank(shards, shards), "chunk long, block binary, n long, v long, hot long"), "ranks")
+    ranks = read_staged(spark, ranks_path)
+    r = ranks.where("chunk is null and hot is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total, kinds = r.n, r.v
+    # tokens in so many contexts that these are split: fewer than 4 times the shards
+    often = {h.hot: h.v for h in ranks.where(F.col("hot").isNotNull() & (F.col("v") > total / (4 * shards))).select("hot", "v").collect()}
+    hot = np.array(sorted(often), np.uint32)
+    by_chunk = ranks.where("chunk is not null").groupBy(F.col("chunk").alias("k")).agg(F.collect_list("block").alias("blocks"))
+    full_path = write_staged(chunks.drop("words", "counts").join(by_chunk, F.col("chunk") == F.col("k")).drop("k"), "ranked")
+    full = read_staged(spark, full_path)
+    remove(spark, chunks_path)
+    remove(spark, ranks_path)
+    release(spark)
     blocks = full.mapInArrow(_positions(hot, shards), "shard int, chunk long, block binary")
-    found = staged(blocks.groupBy("shard").applyInArrow(_settle(hot, total, kinds), FOUND), "found")
+    found_path = write_staged(blocks.groupBy("shard").applyInArrow(_settle(hot, total, kinds), FOUND), "found")
+    found = read_staged(spark, found_path)
+    release(spark)
     by_chunk = found.where("kind < 2").groupBy(F.col("chunk").alias("k")).agg(
         F.collect_list(F.when(F.col("kind") == 0, F.struct("at", "value"))).alias("z"), F.collect_list(F.when(F.col("kind") == 1, F.col("at"))).alias("deep")
     )
     by_chunk = by_chunk.select("k", F.col("z.at").alias("at"), F.col("z.value").alias("value"), "deep")
     with_found = full.join(by_chunk, F.col("chunk") == F.col("k"), "left").drop("k")
-    scores = staged(with_found.mapInArrow(_runs_and_scores(total, kinds, False), DOC), "scores")
-    runs = staged(with_found.mapInArrow(_runs_and_scores(total, kinds, True), RUN), "runs")
-    # tier 2: equal runs are one
-    kinds_of = runs.groupBy("run", "run2").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"), F.first("asks").alias("asks"), F.first("train").alias("train"), F.sum("train").alias("weight"))
-    kinds_of = staged(kinds_of, "kinds")
-    n_deep = kinds_of.where("weight > 0").agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
-    parts = max(1, -(-int(n_deep) // SHARD_TOKENS))
-    cell = F.pmod(F.xxhash64("run", "run2"), F.lit(parts)).cast("int")
-    corpus = kinds_of.where("weight > 0").select(cell.alias("cell"), F.lit(0).alias("visit"), "run", "run2", "weight", "tokens", F.lit(0).alias("part"))
-    # the runs to score come in as many groups as fill a search, each of which meets every shard
-    n_asked = kinds_of.where("asks = 1").agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
-    groups = max(1, -(-int(n_asked) // SHARD_TOKENS))
-    asked = kinds_of.where("asks = 1").withColumn("part", F.pmod(F.xxhash64("run2", "run"), F.lit(groups)).cast("int"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"), F.lit(1).alias("visit"), "run", "run2", "weight", "tokens", "part")
-    corpus = corpus.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    got = corpus.unionByName(asked).groupBy("cell", "part").applyInArrow(_search(parts), "run long, run2 long, got binary")
-    got = got.groupBy(F.col("run").alias("r"), F.col("run2").alias("r2")).agg(F.collect_list("got").alias("gots"))
-    values = kinds_of.join(got, (F.col("run") == F.col("r")) & (F.col("run2") == F.col("r2"))).select("run", "run2", "train", "counts", "gots").mapInArrow(_combine(total, kinds), "run long, run2 long, value double")
-    deep = runs.select("chunk", "doc", "run", "run2").join(staged(values, "values"), ["run", "run2"]).groupBy("chunk", "doc").agg(F.sum("value").alias("v"))
+    told = staged(with_found.mapInArrow(_runs_and_scores(total, kinds), OUT), "told")
+    scores, runs = told.where("doc_id is not null or held_out is not null"), told.where("run is not null")
     # hot contexts of one token: counts of the pairs summed over the shards
     pairs = found.where("kind = 3").groupBy("key", "word").agg(F.sum("count").alias("pair"))
     wait = found.where("kind = 2").select("chunk", "at", "key", "word", F.col("count").alias("p")).join(pairs, ["key", "word"], "left")
-    wait = wait.join(vocabulary.select(F.col("rank").alias("key"), F.col("c").alias("ctx")), "key")
+    contexts = spark.createDataFrame([(int(k), int(c)) for k, c in often.items()] or [(-1, 0)], "key long, ctx long")
+    wait = wait.join(F.broadcast(contexts), "key")  # a row a hot token
     m = F.lit(MASS[0])
     wait = wait.select("chunk", "at", F.log10((F.coalesce("pair", F.lit(0.0)) + m * F.col("p")) / (F.col("ctx") + m)).alias("v"))
     owners = full.select("chunk", "ends")
@@ -589,6 +676,23 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["chunk"])), pa.array(d), pa.array(v[d])], names=["chunk", "doc", "v"])
 
     wait = wait.groupBy("chunk").agg(F.collect_list("at").alias("ats"), F.collect_list("v").alias("vs")).join(owners, "chunk").mapInArrow(owner, "chunk long, doc int, v double")
+    wait = staged(wait, "wait")
+    remove(spark, full_path)
+    remove(spark, found_path)
+    release(spark)
+    # tier 2: equal runs are one
+    kinds_of = runs.groupBy("run", "run2").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"), F.first("asks").alias("asks"), F.first("train").alias("train"), F.sum("train").alias("weight"))
+    kinds_of = staged(kinds_of, "kinds")
+    n_deep = kinds_of.where("weight > 0").agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
+    parts = max(1, -(-int(n_deep) // SHARD_TOKENS))
+    cell = F.pmod(F.xxhash64("run", "run2"), F.lit(parts)).cast("int")
+    some = ("visit", "run", "run2", "weight", "train", "tokens")
+    corpus = kinds_of.where("weight > 0").withColumn("visit", F.lit(0)).select(cell.alias("cell"), *some)
+    asked = kinds_of.where("asks = 1").withColumn("visit", F.lit(1)).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"), *some)
+    got = corpus.unionByName(asked).groupBy("cell").applyInArrow(_search, "run long, run2 long, got binary")
+    got = got.groupBy(F.col("run").alias("r"), F.col("run2").alias("r2")).agg(F.collect_list("got").alias("gots"))
+    values = kinds_of.join(got, (F.col("run") == F.col("r")) & (F.col("run2") == F.col("r2"))).select("run", "run2", "train", "counts", "gots").mapInArrow(_combine(total, kinds), "run long, run2 long, value double")
+    deep = runs.select("chunk", "doc", "run", "run2").join(staged(values, "values"), ["run", "run2"]).groupBy("chunk", "doc").agg(F.sum("value").alias("v"))
     more = deep.unionByName(wait).groupBy("chunk", "doc").agg(F.sum("v").alias("more"))
     out = scores.join(more, ["chunk", "doc"], "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
