@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set and are held by every task in blocks of at most `block_items` items, so what a task holds is
-bounded however long the benchmark is; each block is matched against all documents. The seeds of an item are chosen by winnowing on
-corpus frequency: in each run of `window` neighbouring n-grams the one in the fewest documents. So every copy of window + n - 1
-unchanged words has a seed, items that leaked into very many documents included, and common phrases are seeds only where an item
-has nothing rarer. Around the hits of an item in a document the passage is aligned with the item by Smith-Waterman over words.
+bounded however long the benchmark is; each block is matched against all documents. Every n-gram of an item is a seed, whatever its
+frequency, so every copy that has n unchanged words in a row is found, however many other copies there are. Around the hits of an
+item in a document the passage is aligned with the item by Smith-Waterman over words, unless it has too few of the item's words for
+any alignment to reach the threshold.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import need, text_batches
 
-N, WINDOW, BLOCK_ITEMS, MATCH, THRESHOLD = 3, 4, 20_000, 2, 0.4
+N, BLOCK_ITEMS, MATCH, THRESHOLD = 3, 20_000, 2, 0.4
 _TO_SPACE = bytes.maketrans(b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
@@ -56,38 +55,25 @@ class Block:
         self.words = dict(enumerate(words_of(t) for _, t in items))
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words.values() for w in ws))}
         self.ids = {k: np.array([self.number[w] for w in ws], np.int64) for k, ws in self.words.items()}
+        self.bags = {k: np.unique(x, return_counts=True) for k, x in self.ids.items()}
 
     def grams(self, k: int) -> list[tuple[bytes, ...]]:
         ws = self.words[k]
         n = min(N, len(ws))
         return [tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)] if n else []
 
-    def seeds(self, frequency: dict[tuple[bytes, ...], int]) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
+    def seeds(self) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
         out: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
         for k in self.words:
-            g = self.grams(k)
-            rank = [(frequency.get(x, 0), i) for i, x in enumerate(g)]
-            for i in sorted({min(rank[a : a + WINDOW])[1] for a in range(max(1, len(g) - WINDOW + 1))} if g else ()):
-                out.setdefault(g[i], []).append((k, i))
+            for i, g in enumerate(self.grams(k)):
+                out.setdefault(g, []).append((k, i))
         return out
 
-
-def _frequencies(grams: set[tuple[bytes, ...]]):
-    short = {g for g in grams if len(g) < N}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple[bytes, ...]] = Counter()
-        for b in batches:
-            for t in pc.cast(b.column(0), pa.binary()).to_pylist():
-                if t:
-                    ws = words_of(t)
-                    n.update(grams.intersection(zip(ws, ws[1:], ws[2:], strict=False)))
-                    if short:
-                        n.update(short.intersection((w,) for w in ws))
-                        n.update(short.intersection(zip(ws, ws[1:], strict=False)))
-        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(g) for g in n], pa.binary()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
-
-    return count
+    def common(self, k: int, passage: np.ndarray) -> int:
+        """Words that item and passage have in common, repeated ones as often as both have them: no alignment has more matches."""
+        kinds, n = self.bags[k]
+        at = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
+        return int(np.minimum(np.bincount(at[kinds[at] == passage], minlength=len(kinds)), n).sum())
 
 
 def passages(hits: list[tuple[int, int]], length: int, n_words: int) -> list[tuple[int, int]]:
@@ -103,8 +89,8 @@ def passages(hits: list[tuple[int, int]], length: int, n_words: int) -> list[tup
     return [(a, z) for a, z in out]
 
 
-def matches(ws: list[bytes], block: Block, seeds: dict[tuple[bytes, ...], list[tuple[int, int]]], sizes: tuple[int, ...]) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, words) of the best passage of each item that a seed finds in the document."""
+def matches(ws: list[bytes], block: Block, seeds: dict[tuple[bytes, ...], list[tuple[int, int]]], sizes: tuple[int, ...], threshold: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, words) of the best passage of each item that a seed finds in the document and whose score reaches threshold."""
     found: dict[int, list[tuple[int, int]]] = {}
     for n in sizes:
         grams = zip(*(ws[k:] for k in range(n)), strict=False)
@@ -115,16 +101,20 @@ def matches(ws: list[bytes], block: Block, seeds: dict[tuple[bytes, ...], list[t
                     for k, i in seeds[g]:
                         found.setdefault(k, []).append((d, i))
     out = []
+    numbers = np.array([block.number.get(w, -1) for w in ws] if found else [], np.int64)
     for k in sorted(found):
         item = block.ids[k]
         best = (0.0, 0, 0)
         for a, z in passages(found[k], len(item), len(ws)):
-            seen = np.array([block.number.get(w, -1) for w in ws[a:z]], np.int64)
+            seen = numbers[a:z]
+            if block.common(k, seen) / len(item) < threshold:
+                continue
             s, end, top = align(item, seen)
             if s / (MATCH * len(item)) > best[0]:
                 first = max(0, a + end - top)
                 best = (s / (MATCH * len(item)), first, a + end - first)
-        out.append((block.items[k], *best))
+        if best[0] >= threshold:
+            out.append((block.items[k], *best))
     return out
 
 
@@ -136,7 +126,7 @@ def _search(block: Block, seeds: dict[tuple[bytes, ...], list[tuple[int, int]]],
             rows = []
             for d, t in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary()).to_pylist(), strict=True):
                 if t:
-                    rows += [(d, *m) for m in matches(words_of(t), block, seeds, sizes) if m[1] >= threshold]
+                    rows += [(d, *m) for m in matches(words_of(t), block, seeds, sizes, threshold)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "n_words"])
 
@@ -171,12 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     text_batches(spark)
     out = None
     for block in blocks(benchmark, block_items):
-        grams = {g for k in block.words for g in block.grams(k)}
-        if not grams:
+        seeds = block.seeds()
+        if not seeds:
             continue
-        counted = docs.select("text").mapInArrow(_frequencies(grams), "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = {tuple(bytes(r.gram).split()): r.n for r in counted.toLocalIterator()}
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(block, block.seeds(frequency), threshold), SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(block, seeds, threshold), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -186,7 +174,7 @@ def _hit(block: Block, seeds: dict[tuple[bytes, ...], list[tuple[int, int]]], th
 
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(t) and any(m[1] >= threshold for m in matches(words_of(t.encode()), block, seeds, sizes)) for t in texts], dtype=bool)
+        return pd.Series([bool(t) and bool(matches(words_of(t.encode()), block, seeds, sizes, threshold)) for t in texts], dtype=bool)
 
     return hit
 
@@ -197,10 +185,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     text_batches(docs.sparkSession)
     names, out = docs.columns, docs
     for block in blocks(benchmark, block_items):
-        grams = {g for k in block.words for g in block.grams(k)}
-        if not grams:
+        seeds = block.seeds()
+        if not seeds:
             continue
-        counted = docs.select("text").mapInArrow(_frequencies(grams), "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds = block.seeds({tuple(bytes(r.gram).split()): r.n for r in counted.toLocalIterator()})
         out = out.where(~_hit(block, seeds, threshold)("text"))
     return out.select(*names)

@@ -40,6 +40,25 @@ def test_finds_copies_and_leaves_the_rest(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in rows} - set(planted))
 
 
+def test_finds_edited_copies(spark):
+    """Every 4th, 5th or 6th word replaced: as an item's only copy, and beside exact copies that make the broken n-grams the rarer ones."""
+    rng = random.Random(12)
+    items, rows, want = [], [], set()
+    for k in range(18):
+        words = [f"{w}{k}" for w in prose(rng, rng.randint(20, 50)).split()]
+        items.append((k, " ".join(words)))
+        edited = [f"new{k}x{n}" if n % (4 + k % 3) == 1 else w for n, w in enumerate(words)]
+        rows.append((k, f"{prose(rng, 40)} {' '.join(edited)} {prose(rng, 40)}", "s"))
+        want.add((k, k))
+        if k % 2:
+            rows.append((100 + k, f"{prose(rng, 30)} {items[k][1]}", "s"))
+            want.add((100 + k, k))
+    rows.append((200, prose(rng, 200), "s"))
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == want
+    assert [r.doc_id for r in D.clean_documents(docs, bench).collect()] == [200]
+
+
 def test_blocks_change_nothing(spark):
     docs, items, _, _ = corpus(spark)
     key = lambda df: sorted(map(tuple, df.collect()))
