@@ -80,8 +80,8 @@ def passages(hits: list[tuple[int, int]], length: int, n_words: int) -> list[tup
     """Word ranges of the document that may hold the item, from (document position, item position) of its seeds; overlapping ones are merged."""
     slack = length // 2 + 4
     out: list[list[int]] = []
-    for d, i in sorted(hits):
-        a, z = max(0, d - i - slack), min(n_words, d - i + length + slack)
+    # by their left ends, not by the hits' places: a later hit of a later part of the item may reach further back
+    for a, z in sorted((max(0, d - i - slack), min(n_words, d - i + length + slack)) for d, i in hits):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:

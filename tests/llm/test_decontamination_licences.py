@@ -65,6 +65,20 @@ def test_blocks_change_nothing(spark):
     assert key(D.contaminated(docs, items)) == key(D.contaminated(docs, items, block_items=3))
 
 
+def test_a_stray_hit_before_the_copy_costs_nothing():
+    # the item's first words stand just before the tail of its copy, whose front is broken
+    assert D.passages([(100, 0), (110, 30)], 40, 1000) == [(56, 164)]
+    assert D.passages([(10, 0), (200, 0), (206, 150)], 20, 1000) == [(0, 90), (186, 234)]
+    item = [f"w{n}" for n in range(40)]
+    copy = [f"x{n}" if n % 3 == 2 and n < 30 else w for n, w in enumerate(item)]
+    words = [w.encode() for w in ["far"] * 200 + copy[:28] + item[:3] + copy[28:] + ["away"] * 200]
+    block = D.Block([(7, " ".join(item).encode())])
+    far = {(b"w0", b"w1", b"w2"): [(0, 0)], (b"w37", b"w38", b"w39"): [(0, 37)]}
+    got = D.matches(words, block, far, (3,), D.THRESHOLD)
+    number = np.array([block.number.get(w, -1) for w in words], np.int64)
+    assert [r[1] for r in got] == [D.align(block.ids[0], number)[0] / 80]
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(0)
     for _ in range(200):
