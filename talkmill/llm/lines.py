@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
 Lines (between \\n, ASCII white space at their ends dropped, blank ones left out) that are equal are a class from the start. Two classes
-of at least MIN_CHARS characters link if their edit distance is at most TAU. The shorter line of a linked pair, cut into TAU + 1
+link if their edit distance is at most TAU, however short they are. The shorter line of a linked pair, cut into TAU + 1
 segments, has a segment that occurs in the longer one near its own place, so its segments are the index and the longer line probes it
-with the few substrings that the multi-match-aware bounds leave for each length. Keys are hashes of (length, segment, substring),
+with the few substrings that the multi-match-aware bounds leave for each length; a line of up to TAU characters has an empty segment, which all
+lines of fit length share. Keys are hashes of (length, segment, substring),
 matched by an equi-join that adaptive execution splits where a segment is common. An exact filter goes along with every key: one edit
 flips at most four bits of the parity of a line's hashed bigrams, so of the lines that share a segment only those within 4 TAU bits
 come out. These are verified by banded bit-parallel edit distance over the lines' texts, for many pairs at once.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import components, fresh, need, release, staged, text_batches
 
-TAU, MIN_CHARS = 2, 24
+#: Only blank lines are too short to link.
+TAU, MIN_CHARS = 2, 1
 _SPACE = " \t\n\x0b\x0c\r"
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)

@@ -90,6 +90,19 @@ def test_matches_brute_force(spark):
     assert sum(w[4] for w in want) > 20
 
 
+def test_short_lines_link(spark):
+    """Against brute force without a least length: every length from 1, and pairs that cross what was the bound."""
+    rng = random.Random(8)
+    kinds = ["Read more here.", "Read more here!", "a", "b", "ab", "xyzw", "é", "abc", "abcde", "12345678", "12345689"]
+    for n in [*range(1, 27)] * 3:
+        x = "".join(rng.choice("abcdé ") for _ in range(n)).strip() or "d"
+        kinds += [x, edited(rng, x, min(2, len(x))).strip() or "d"]
+    kinds = sorted(set(kinds))
+    got = {r.doc_id: (r.n_linked, r.n_links) for r in S.dedup_lines(frame(spark, [(k, x, "s") for k, x in enumerate(kinds)])).collect()}
+    near = [sum(a != b and distance(a, b) <= S.TAU for b in kinds) for a in kinds]
+    assert got == {k: (int(n > 0), n) for k, n in enumerate(near)}
+
+
 def test_dropping_repeated_lines(spark):
     rng = random.Random(1)
     one, two, three = (prose(rng, 9) for _ in range(3))
