@@ -52,8 +52,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: A sentence ends at a line break, or at . ! ? ; : before white space or the end.
 SPLIT = r"\n|[.!?;:](?=[\x20\x09-\x0D]|$)"
 NOISE = r"[^a-z0-9.]+"
-#: A word of each known sentence; texts without any of them have no known sentence.
-HINT = r"(?i)licen|permission|redistribut|rights reserved|copyright|cc by|software|warranty"
+#: A word of each known sentence, as it may stand before normalising; texts without any of them have no known sentence.
+HINT = rf"(?i)licen|permission|redistribut|rights{NOISE}reserved|copyright|cc{NOISE}by|software|warranty"
 
 
 def normal(sentence: Column) -> Column:

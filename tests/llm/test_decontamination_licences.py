@@ -120,6 +120,12 @@ def test_licences(spark):
     assert got[2].sentence_ids == "mit_grant mit_notice as_is" and got[3].n_known == 3
 
 
+def test_hints_hold_before_normalising(spark):
+    texts = {1: "All rights  reserved.", 2: "Some prose. ALL RIGHTS\treserved!", 3: "all rights\u00a0- Reserved", 4: "all rights were reserved"}
+    got = {r.doc_id: r.licences for r in L.scan(frame(spark, [(k, t, None) for k, t in texts.items()])).collect()}
+    assert got == {1: "Proprietary", 2: "Proprietary", 3: "Proprietary", 4: ""}
+
+
 def test_every_known_sentence_is_normal_and_hinted():
     import re
 
