@@ -1,25 +1,30 @@
 """Unbounded n-gram scoring with suffix arrays.
 
-The context of a token is the text of its document before it, read backwards; sorting the training positions by it is a suffix array
-of the reversed corpus, and the longest matching context of any position lies beside it in that order. The array is built in two tiers,
-each sharded, so that the work follows the corpus:
-
-1. Shards by range of the first context tokens (a token in very many contexts is split by the one before it) sort positions by their
-   last DEPTH tokens. A position whose longest match is shorter than DEPTH is settled there, by binary search for the counts of the
-   context and of context and token. Where DEPTH tokens match, all positions of that group are deep.
-2. Runs of deep positions, with the tokens before them, are texts that hold every longer match whole. Equal runs are one text with a
-   weight. They are cut into shards of at most SHARD_TOKENS tokens, each with a suffix array of unlimited depth by prefix doubling;
-   each run to score visits all of these shards, finds its longest contexts by binary search, and the shards' counts are summed.
-
-A probability is (count of context and token + m * p) / (count of context + m), where p is the unigram probability of the base score
-and m falls with the length of the context (MASS). Training documents are part of what they are scored by. Tokens travel as ranks by
-frequency in compressed blocks, so a position costs about ten bytes to exchange.
+The context of a token is the text of its document before it, read backwards to the document's start, which counts as a token of its
+own. A token is scored by the longest context that the training documents have: (count of context and token + m * p) / (count of the
+context + m), where p is the unigram probability of the base score and m falls with the length of the context (MASS).
+
+Training positions, sorted by their contexts, are a suffix array of the reversed corpus. It is sharded by content: a position and all
+positions that share a context of the length in question meet in one shard, so a looked-up position visits one shard a step, whatever the
+size of the corpus.
+
+1. Whole histories: how many training documents share a document's first i tokens is a count of equal prefix hashes, first at
+   lengths 1, 2, 4, ... and then at all lengths up to the first power that isn't shared. This settles training documents, which are part of
+   what they are scored by, and every position of others whose history a training document starts with.
+2. Contexts of up to DEPTH tokens: shards by the last token. Frequent tokens, pairs and triples are split by one token more each; the counts
+   of the frequent contexts themselves are summed over the shards.
+3. Windows of W to K tokens, for positions whose longest context is longer: shards by the rarest or least-hashed part of the last W
+   tokens, so neighbouring positions travel together with the K tokens before them. A shard holds the suffix array of its distinct
+   windows; each asked context finds its longest match and the range that shares it by binary search. Positions that match all K tokens,
+   and the training positions they match, go on to the next windows, until none is left.
+
+Tokens travel as ranks by frequency in compressed blocks. Equal segments of a chunk of documents travel once, with a weight.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,48 +39,89 @@ from talkmill.llm.common import fold_of, need, read_staged, release, remove, sta
 DEPTH = 4
 #: Prior mass by context length, from 1; longer contexts have the last.
 MASS = (16.0, 8.0, 4.0, 1.0)
-#: Tokens of a chunk of documents, of a tier-1 shard on average, and of a tier-2 shard.
-CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 2_000_000, 1_200_000, 2_500_000
-#: Tokens of the block of runs that a tier-2 shard looks up at once.
-ASKED_TOKENS = 500_000
+#: Growth of the windows after the first one, which ends at 4 * DEPTH.
+GROWTH = 8
+#: Tokens of a chunk of documents, of a shard of short contexts on average, and those shipped to a shard of windows.
+CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 2_000_000, 1_200_000, 3_000_000
 END = xxhash.xxh64_intdigest(b"", 7)
+_B = 0x9E3779B97F4A7C15
+_U = np.uint64
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    a = np.ascontiguousarray(a)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<qB", len(a), a.itemsize) + np.ascontiguousarray(planes).tobytes())
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> _U(20)) % _U(parts)).astype(np.int32)
 
 
-def _unpack(b: bytes, kind: type) -> np.ndarray:
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers by byte planes, compressed together."""
+    out = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        out += [a.dtype.str[1:3].encode(), struct.pack("<q", len(a)), (a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def _unpack(b: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(b)
-    n, size = struct.unpack_from("<qB", raw)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=9).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+    out, at = [], 1
+    for _ in range(raw[0]):
+        kind, n = np.dtype("<" + raw[at : at + 2].decode()), struct.unpack_from("<q", raw, at + 2)[0]
+        at += 10
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += n * kind.itemsize
+    return out
 
 
-def _join(parts: list[bytes]) -> bytes:
-    return b"".join(struct.pack("<q", len(z)) + z for z in parts)
+def _small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the fewest bytes."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _parts(block: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(block):
-        n = struct.unpack_from("<q", block, at)[0]
-        out.append(block[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _batch(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of the schema; columns not given are null."""
+    names = [c.split() for c in schema.split(", ")]
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], _TYPES[t]) if k in columns else pa.nulls(n, _TYPES[t]) for k, t in names], names=[k for k, _ in names])
+
+
+def _schema(schema: str) -> pa.Schema:
+    return pa.schema([(k, _TYPES[t]) for k, t in (c.split() for c in schema.split(", "))])
+
+
+def _table(schema: str, out: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(out, _schema(schema)) if out else _schema(schema).empty_table()
 
 
-def _rows(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+def _sent(schema: str, rows: list[tuple], each: int = 64) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in schema.split(", ")]
+    for k in range(0, len(rows), each):
+        yield _batch(schema, **dict(zip(names, zip(*rows[k : k + each], strict=True), strict=False)))
 
 
-CHUNK = "chunk long, ids binary, nulls binary, held binary, ends binary, tokens binary, words binary, counts binary, n long"
+CHUNK = "chunk long, ids binary, nulls binary, held binary, ends binary, tokens binary, words binary, counts binary, n long, train long"
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of each text, all words in order): ASCII letters in lower case, cut at ASCII white space."""
+    if texts.offset:  # some kernels misread slices
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(full)])
+    offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
+    return upto[offsets[1:]] - upto[offsets[:-1]], flat.filter(pa.array(full))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,35 +130,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     base, k = TaskContext.get().partitionId() << 24, 0
     ids: list[int | None] = []
-    held: list[bool] = []
-    parts: list[np.ndarray] = []
-    number: dict[bytes, int] = {}
+    held: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    words: list[pa.Array] = []
     n = 0
 
     def flush() -> pa.RecordBatch:
-        words = np.fromiter((END if w == b"" else xxhash.xxh64_intdigest(w, 1) for w in number), np.uint64, len(number))
-        tokens = np.concatenate(parts)
-        ends = np.cumsum([len(p) for p in parts])
-        train = np.repeat(~np.array(held), np.diff(ends, prepend=0))
-        counts = np.bincount(tokens[train], minlength=len(number))
+        coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+        own = coded.indices.to_numpy()
+        kinds = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+        size, out = np.concatenate(sizes), np.concatenate(held)
+        ends = np.cumsum(size + 1)
+        tokens = np.full(ends[-1], len(kinds), np.uint32)
+        inner = np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        tokens[inner] = own
+        train = np.repeat(~out, size + 1)
+        counts = np.bincount(tokens[train], minlength=len(kinds) + 1)
         nulls = np.array([i is None for i in ids])
-        row = [base + k, np.array([i or 0 for i in ids], np.int64).tobytes(), nulls.tobytes(), np.array(held).tobytes(), ends.astype(np.int64).tobytes(), _pack(tokens.astype(np.uint32)), words.tobytes(), counts.astype(np.int64).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]], pa.array([len(tokens)], pa.int64())], names=[c.split()[0] for c in CHUNK.split(", ")])
+        row = (base + k, np.array([i or 0 for i in ids], np.int64).tobytes(), nulls.tobytes(), out.tobytes(), ends.astype(np.int64).tobytes(), _pack(_small(tokens)), np.append(kinds, _U(END)).tobytes(), counts.astype(np.int64).tobytes(), len(tokens), int((~out).sum()))
+        return next(_sent(CHUNK, [row]))
 
     for b in batches:
-        for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.cast(b.column(2), pa.binary()).to_pylist(), strict=True):
-            ws = tokens_of(t or b"")
-            ws.append(b"")
-            for w in set(ws).difference(number):
-                number[w] = len(number)
-            parts.append(np.fromiter(map(number.__getitem__, ws), np.int32, len(ws)))
-            ids.append(i)
-            held.append(h)
-            n += len(ws)
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            size, flat = words_of(part.column(2))
+            ids += part.column(0).to_pylist()
+            held.append(part.column(1).to_numpy(zero_copy_only=False).astype(bool))
+            sizes.append(size)
+            words.append(flat)
+            n += len(flat) + len(size)
             if n >= CHUNK_TOKENS:
                 yield flush()
-                ids, held, parts, number, n, k = [], [], [], {}, 0, k + 1
-    if parts:
+                ids, held, sizes, words, n, k = [], [], [], [], 0, k + 1
+    if ids:
         yield flush()
 
 
@@ -123,116 +174,266 @@ def _words(parts: int):
         for b in batches:
             for c, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w, n = np.frombuffer(w, np.uint64), np.frombuffer(n, np.int64)
-                part = (w >> np.uint64(20)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                rows = []
-                for k in range(parts):
-                    at = order[cuts[k] : cuts[k + 1]]
-                    if len(at):
-                        rows.append((k, c, _join([_pack(at.astype(np.uint32)), _pack(w[at]), _pack(n[at].astype(np.uint32))])))
-                for k in range(0, len(rows), 64):
-                    yield _rows(rows[k : k + 64], ("part", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()))
+                yield from _sent("part int, chunk long, block binary", [(k, c, _pack(_small(at), w[at], _small(n[at]))) for k, at in _cut(_part(w, parts), parts)])
 
     return run
 
 
-def _rank(parts: int, shards: int):
-    """A part of the vocabulary: every chunk's words with rank (frequent words low: the parts deal the ranks out in turn) and total count;
-    rows without chunk sum the part up and name its most frequent words."""
+def _cut(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, the places it has in ascending order) of the parts that have some."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.nonzero(np.diff(cuts))[0].tolist()]
+
+
+RANKS = "chunk long, block binary, n long, v long"
+
+
+def _rank(parts: int):
+    """A part of the vocabulary: every chunk's words with rank (from 1, frequent words low: the parts deal the ranks out in turn) and
+    training count; the row without chunk sums the part up."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        blocks = [(c, _parts(x)) for c, x in zip(t.column("chunk").to_pylist(), t.column("block").to_pylist(), strict=True)]
-        words = [_unpack(x[1], np.uint64) for _, x in blocks]
-        kinds, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([_unpack(x[2], np.uint32) for _, x in blocks]), len(kinds)).astype(np.int64)
+        blocks = [(c, *_unpack(x)) for c, x in zip(t.column("chunk").to_pylist(), t.column("block").to_pylist(), strict=True)]
+        kinds, inverse = np.unique(np.concatenate([w for _, _, w, _ in blocks]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([n for *_, n in blocks]), len(kinds)).astype(np.int64)
         rank = np.empty(len(kinds), np.int64)
-        order = np.lexsort((kinds, -total))
-        rank[order] = np.arange(len(kinds)) * parts + part + 1
+        rank[np.lexsort((kinds, -total))] = np.arange(len(kinds)) * parts + part + 1
         if int(rank.max(initial=0)) >= 1 << 32:
             raise ValueError("more than 2^32 words")
         rows, at = [], 0
-        for (c, x), w in zip(blocks, words, strict=True):
+        for c, places, w, _ in blocks:
             k = inverse[at : at + len(w)]
             at += len(w)
-            rows.append((c, _join([x[0], _pack(rank[k].astype(np.uint32)), _pack(total[k])]), 0, 0, 0))
-        rows.append((None, None, int(total.sum()), int((total > 0).sum()), None))
-        often = total > total.sum() / (4 * shards)
-        rows += [(None, None, 0, int(c), int(r)) for r, c in zip(rank[often], total[often], strict=True)]
-        return pa.Table.from_batches([_rows(rows, ("chunk", pa.int64()), ("block", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("hot", pa.int64()))])
+            rows.append((c, _pack(places, _small(rank[k]), _small(total[k])), 0, 0))
+        rows.append((None, None, int(total.sum()), int((total > 0).sum())))
+        return _table(RANKS, list(_sent(RANKS, rows)))
 
     return run
 
 
-def _shard_of(c1: np.ndarray, c2: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    x = c1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    if len(hot):
-        x = np.where(np.isin(c1, hot), x ^ (c2.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), x)
-    return ((x >> np.uint64(24)) % np.uint64(shards)).astype(np.int32)
-
-
 class Chunk:
-    """A chunk with global ranks (from 1) and counts of its tokens."""
+    """A chunk's documents end to end: s has the rank of each token and, before each document, 0 for its start."""
 
     def __init__(self, row: dict):
         self.chunk = row["chunk"]
-        blocks = [_parts(b) for b in row["blocks"]]
-        places = np.concatenate([_unpack(b[0], np.uint32) for b in blocks])
-        at, seen = np.empty(len(places), np.uint32), np.empty(len(places), np.int64)
-        at[places] = np.concatenate([_unpack(b[1], np.uint32) for b in blocks])
-        seen[places] = np.concatenate([_unpack(b[2], np.int64) for b in blocks])
-        local = _unpack(row["tokens"], np.uint32)
-        self.t, self.c = at[local], seen[local]
+        blocks = [_unpack(b) for b in row["blocks"]]
+        places = np.concatenate([b[0] for b in blocks])
+        rank = np.zeros(len(places) + 1, np.uint32)
+        rank[places] = np.concatenate([b[1].astype(np.uint32) for b in blocks])
+        self.seen = np.zeros(len(places) + 1, np.int64)
+        self.seen[places] = np.concatenate([b[2].astype(np.int64) for b in blocks])
         self.ends = np.frombuffer(row["ends"], np.int64)
         self.held = np.frombuffer(row["held"], bool)
-        self.ids = [None if n else int(i) for i, n in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), strict=True)]
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        lengths = self.ends - self.starts
-        self.doc = np.repeat(np.arange(len(self.ends), dtype=np.int32), lengths)
-        self.place = np.arange(len(self.t)) - np.repeat(self.starts, lengths)
-        self.heldt = self.held[self.doc]
-
-    def before(self, k: int) -> np.ndarray:
-        """The token k places before each, 0 where the document hasn't one."""
-        out = np.zeros(len(self.t), np.uint32)
-        out[k:] = self.t[:-k]
-        out[self.place < k] = 0
-        return out
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+        #: Tokens of each document, with its end; the place of its start in s.
+        self.sizes = np.diff(self.ends, prepend=0)
+        self.first = self.ends - self.sizes + np.arange(len(self.ends))
+        n = int(self.ends[-1]) + len(self.ends)
+        real = np.ones(n, bool)
+        real[self.first] = False
+        self.local = np.full(n, len(places), np.uint32)
+        self.local[real] = _unpack(row["tokens"])[0]
+        self.s = rank[self.local]
+        #: Context length before each place: all tokens of the document before it, and its start.
+        self.left = np.arange(n, dtype=np.int32) - np.repeat(self.first, self.sizes + 1).astype(np.int32)
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
+
+    def of_held(self) -> np.ndarray:
+        return np.repeat(self.held, self.sizes + 1)
+
+    def before(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The token k places before each, 0 at and beyond the document's start."""
+        return np.where(self.left[at] > k, self.s[np.maximum(at - k, 0)], 0)
+
+    def hash(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Of the tokens from a to z."""
+        if self._sums is None:
+            self._sums = sums(self.s)
+        total, down = self._sums
+        return (total[z] - total[a]) * down[a]
+
+
+def sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all prefixes of s and the powers that take a piece's hash back to the start."""
+    up = np.full(len(s) + 1, _B, np.uint64)
+    up[:1] = 1
+    down = np.full(len(s) + 1, pow(_B, -1, 1 << 64), np.uint64)
+    down[:1] = 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s.astype(np.uint64) + _U(1)) * np.multiply.accumulate(up)[:-1])]), np.multiply.accumulate(down)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, dict]]:
     for b in batches:
-        for row in b.to_pylist():
-            yield Chunk(row)
+        for k in range(b.num_rows):
+            row = b.slice(k, 1).to_pylist()[0]
+            yield Chunk(row), row
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after another."""
+    upto = np.cumsum(sizes)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + sizes, sizes)
+
+
+# -- whole histories
+
+
+def _ladder(x: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, length, key) of prefixes of 1, 2, 4, ... tokens."""
+    doc, length = [], []
+    k = 1
+    while (d := np.nonzero(x.sizes >= k)[0]).size:
+        doc.append(d)
+        length.append(np.full(len(d), k))
+        k *= 2
+    d, n = np.concatenate(doc), np.concatenate(length)
+    return d, n, _history_keys(x, d, n)
 
 
-def _positions(hot: np.ndarray, shards: int):
+def _history_keys(x: Chunk, doc: np.ndarray, length: np.ndarray) -> np.ndarray:
+    a = x.first[doc] + 1
+    return _mix(x.hash(a, a + length) + _mix(length.astype(np.uint64)))
+
+
+def _histories(x: Chunk, ladder: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, length, key) of the prefixes up to the first step of the ladder that is not shared; ladder: the sums at its steps, to which
+    a training document adds 2 and another one 1."""
+    doc, n, _ = _ladder(x)
+    shared = ladder > np.where(x.held[doc], 1, 2)
+    top = np.zeros(len(x.sizes), np.int64)
+    np.maximum.at(top, doc[shared], n[shared])
+    size = np.where(top > 0, np.minimum(2 * top - 1, x.sizes), 0)
+    d = np.repeat(np.arange(len(size)), size)
+    length = spans(np.ones(len(size), np.int64), size)
+    return d, length, _history_keys(x, d, length)
+
+
+TALLY = "part int, chunk long, block binary"
+
+
+def _ask(keys: np.ndarray, weights: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, distinct keys' places, keys, summed weights), the same for the same keys."""
+    kinds, inverse = np.unique(keys, return_inverse=True)
+    n = np.bincount(inverse, weights, len(kinds)).astype(np.int64)
+    return [(k, at, kinds[at], n[at]) for k, at in _cut(_part(kinds, parts), parts)]
+
+
+def _tally(t: pa.Table) -> pa.Table:
+    """The sums of the weights of equal keys, in the order of each chunk's keys."""
+    blocks = [_unpack(x) for x in t.column("block").to_pylist()]
+    kinds, inverse = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([b[1] for b in blocks]), len(kinds)).astype(np.int64)[inverse]
+    ends = np.cumsum([len(b[0]) for b in blocks])
+    out = [_pack(_small(total[z - len(b[0]) : z])) for b, z in zip(blocks, ends, strict=True)]
+    return pa.table({"part": t.column("part"), "chunk": t.column("chunk"), "block": pa.array(out, pa.binary())}).cast(_schema(TALLY))
+
+
+def _told(keys: np.ndarray, got: list[dict], parts: int) -> np.ndarray:
+    """The sums that a tally has for these keys."""
+    kinds, inverse = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(kinds), np.int64)
+    blocks = {r["part"]: r["block"] for r in got}
+    for k, at in _cut(_part(kinds, parts), parts):
+        out[at] = _unpack(blocks[k])[0]
+    return out[inverse]
+
+
+def _shared(x: Chunk, row: dict, parts: int) -> np.ndarray:
+    """For each place, the training documents that start with its document's tokens up to and with it."""
+    n = np.where(x.of_held(), 0, 1)
+    doc, length, key = _histories(x, _told(_ladder(x)[2], row["ladder"], parts))
+    if len(key):
+        n[x.first[doc] + length] = _told(key, row["histories"], parts)
+    return n
+
+
+def _scout(parts: int, least: int):
+    """The ladder's keys, and the contexts of 1 to 3 tokens that are frequent in the chunk's training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _rows(batches):
+            doc, _, key = _ladder(x)
+            yield from _sent(TALLY, [(k, x.chunk, _pack(kinds, _small(n))) for k, _, kinds, n in _ask(key, np.where(x.held[doc], 1, 2), parts)])
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _rows(batches):
+            at = np.nonzero(~x.of_held() & (x.left > 1))[0]
+            many = np.bincount(x.local[at - 1]) >= least
+            at = at[many[x.local[at - 1]]]
+            gram = np.zeros(len(at), np.uint64)
+            for k in range(1, DEPTH):
+                c = x.before(at, k)
+                at, gram, c = at[c > 0], gram[c > 0], c[c > 0]
+                gram = _mix(gram + _U(1) + c * _U(_B))
+                kinds, inverse, n = np.unique(gram, return_inverse=True, return_counts=True)
+                keep = n >= least
+                if not keep.any():
+                    break
+                yield _batch("level int, gram long, n long", level=np.full(int(keep.sum()), k), gram=kinds[keep].view(np.int64), n=n[keep])
+                at, gram = at[keep[inverse]], gram[keep[inverse]]
+
+    return run, hot
+
+
+def _ask_histories(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _chunk_rows(batches):
-            back = [x.before(k) for k in range(1, DEPTH + 1)]
-            at = np.nonzero(x.place > 0)[0]
-            shard = _shard_of(back[0][at], back[1][at], hot, shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for x, row in _rows(batches):
+            doc, _, key = _histories(x, _told(_ladder(x)[2], row["ladder"], parts))
+            yield from _sent(TALLY, [(k, x.chunk, _pack(kinds, _small(n))) for k, _, kinds, n in _ask(key, ~x.held[doc], parts)])
+
+    return run
+
+
+# -- contexts of up to DEPTH tokens
+
+
+def _grams(back: list[np.ndarray], hot: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(key of the shard, number of lengths for which the context is spread over shards, keys of the contexts of each length).
+
+    A key has as many tokens as it takes to be not frequent; where a frequent context is preceded by the document's start, any shard will do.
+    """
+    grams, g = [], np.zeros(len(at), np.uint64)
+    for c in back:
+        g = _mix(g + _U(1) + c * _U(_B))
+        grams.append(g)
+    key, spread, more = grams[0].copy(), np.zeros(len(at), np.int8), np.ones(len(at), bool)
+    for k in range(DEPTH - 1):
+        if not len(hot[k]):
+            break
+        more &= np.isin(grams[k], hot[k]) & (back[k] > 0)
+        spread[more] = k + 1
+        key = np.where(more, np.where(back[k + 1] > 0, grams[k + 1], _mix(at.astype(np.uint64) + _U(7))), key)
+        more &= back[k + 1] > 0
+    return key, spread, grams
+
+
+MOVED = "shard int, chunk long, block binary"
+
+
+def _positions(hot: list[np.ndarray], shards: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, row in _rows(batches):
+            shared = _shared(x, row, parts)
+            held = x.of_held()
+            # of documents to score only what no training document's start settles
+            at = np.nonzero((x.left > 1) & ~(held & (shared[np.arange(len(held)) - 1] > 0)))[0]
+            back = [x.before(at, k) for k in range(1, DEPTH + 1)]
+            shard = _part(_grams(back, hot, at)[0], shards)
             rows = []
-            for s in range(shards):
-                p = at[order[cuts[s] : cuts[s + 1]]]
-                if len(p):
-                    h = x.heldt[p]
-                    # a shard has few of the first context tokens: these travel as numbers into a list
-                    firsts, first = np.unique(back[0][p], return_inverse=True)
-                    cols = [np.diff(p, prepend=0).astype(np.uint32), h.astype(np.uint8), firsts, first.astype(np.uint32), *[b[p] for b in back[1:]], x.t[p]]
-                    rows.append((s, x.chunk, _join([*map(_pack, cols), _pack(x.c[p[h | (x.place[p] < DEPTH)]])])))
-            for k in range(0, len(rows), 64):
-                a, c, d = zip(*rows[k : k + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["shard", "chunk", "block"])
+            for s, p in _cut(shard, shards):
+                # a shard has few of the last tokens: these travel as numbers into a list
+                firsts, first = np.unique(back[0][p], return_inverse=True)
+                a = at[p]
+                rows.append((s, x.chunk, _pack(_small(np.diff(a, prepend=0)), held[a].astype(np.uint8), firsts, _small(first), *[b[p] for b in back[1:]], x.s[a])))
+            yield from _sent(MOVED, rows)
 
     return run
 
 
 def log_p(pair: np.ndarray, context: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
-    m = np.array(MASS)[np.clip(length, 1, len(MASS)) - 1]
+    """log10 of the smoothed probability; without a context that of the unigram."""
+    m = np.where(length > 0, np.array(MASS)[np.clip(length, 1, len(MASS)) - 1], 1.0)
     return np.log10((pair + m * p) / (context + m))
 
 
@@ -240,224 +441,152 @@ def _unigram(c: np.ndarray, total: int, kinds: int) -> np.ndarray:
     return (c + 0.5) / (total + 0.5 * (kinds + 1))
 
 
-FOUND = "kind int, chunk long, at binary, value binary, key long, word long, count double"
+#: kind 0: places with length, count of the context and of context and token; 1: places whose context goes on; 2: places that wait for
+#: (gram, word); 3: training counts of such pairs; 4: ranges that are the same as others.
+FOUND = "kind int, chunk long, block binary, gram long, word long, n long"
 
 
-def _found(kind: int, chunks: list, ats: list[bytes], values: list[bytes]) -> pa.RecordBatch:
-    n = len(chunks)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(chunks, pa.int64()), pa.array(ats, pa.binary()), pa.array(values, pa.binary()), none, none, pa.nulls(n, pa.float64())], names=[c.split()[0] for c in FOUND.split(", ")])
+def _by_chunk(kind: int, chunks: list[int], own: np.ndarray, at: np.ndarray, *columns: np.ndarray) -> list[pa.RecordBatch]:
+    rows = []
+    for k, hit in _cut(own, len(chunks)):
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        rows.append((kind, chunks[k], _pack(_small(np.diff(at[hit], prepend=0)), *[_small(c[hit]) for c in columns])))
+    return list(_sent(FOUND, rows))
 
 
-def _settle(hot: np.ndarray, total: int, kinds: int):
-    """A shard of tier 1, all its blocks: kind 0 settled positions (at, log10 p) by chunk, 1 deep positions by chunk, 2 pairs (hot token,
-    token) whose counts other shards hold too, 3 the training counts of such pairs."""
+def _settle(hot: list[np.ndarray]):
+    """A shard of short contexts: sorted, so that every context is a range; an asked one takes the longest that training positions have."""
 
     def run(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("chunk")
         chunks = shard.column("chunk").to_pylist()
-        cols: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 4)]
-        owner, seen = [], []
-        for k, block in enumerate(shard.column("block").to_pylist()):
-            parts = _parts(block)
-            types = [np.uint32, np.uint8, *[np.uint32] * (DEPTH + 2), np.int64]
-            step, h, firsts, first, *got = [_unpack(p, t) for p, t in zip(parts, types, strict=True)]
-            got = [np.cumsum(step, dtype=np.int64), h, firsts[first], *got]
-            n = len(got[0])
-            owner.append(np.full(n, k, np.int32))
-            for c, g in zip(cols, got, strict=True):
-                c.append(g)
-            seen.append(n)
-        at, held, *back, w, _ = [np.concatenate(c) for c in cols]
-        counts = np.concatenate(cols[-1])
-        own = np.concatenate(owner)
-        held = held.astype(bool)
-        short = back[DEPTH - 1] == 0
-        c = np.zeros(len(at), np.int64)
-        c[held | short] = counts
-        a = back[0].astype(np.uint64) << np.uint64(32) | back[1]
-        b = back[2].astype(np.uint64) << np.uint64(32) | back[3]
+        blocks = [_unpack(b) for b in shard.column("block").to_pylist()]
+        own = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(b[0]) for b in blocks])
+        at = np.concatenate([np.cumsum(b[0], dtype=np.int64) for b in blocks])
+        held = np.concatenate([b[1] for b in blocks]).astype(bool)
+        back = [np.concatenate([b[2][b[3]] for b in blocks]), *[np.concatenate([b[k] for b in blocks]) for k in range(4, 3 + DEPTH)]]
+        w = np.concatenate([b[3 + DEPTH] for b in blocks])
+        del blocks
+        a, b = (back[k].astype(np.uint64) << _U(32) | back[k + 1] for k in (0, 2))
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        back = [x[order] for x in back]
-        held, w, at, own, c = held[order], w[order], at[order], own[order], c[order]
-        train = ~held
+        back, held, w, at, own = [x[order] for x in back], held[order], w[order], at[order], own[order]
+        del a, b, order
         n = len(at)
+        train = ~held
+        # splits per place: keys of sorted shards are recomputed, since blocks don't carry them
+        _, spread, grams = _grams(back, hot, at)
         fresh = np.zeros(n, bool)
         fresh[:1] = True
-        group, ctx = [], []
-        for x in back:
+        length, group, ctx = np.zeros(n, np.int8), [], []
+        for k, x in enumerate(back):
             fresh[1:] |= x[1:] != x[:-1]
             g = np.cumsum(fresh) - 1
             group.append(g)
-            ctx.append(np.bincount(g, train, g[-1] + 1)[g] * (x > 0))
-        # a hot token's contexts are spread over shards; that it is a context of the corpus is known
-        is_hot = np.isin(back[0], hot) if len(hot) else np.zeros(n, bool)
-        ctx[0] = np.where(is_hot, np.maximum(ctx[0], 1), ctx[0])
-        size = np.bincount(group[-1])[group[-1]]
-        deep = (back[-1] > 0) & (ctx[-1] > 0) & (size > 1)
-        length = np.zeros(n, np.int64)
-        for k in range(DEPTH):
-            length[ctx[k] > 0] = k + 1
-        # the whole history of a training position is in the corpus; if it is DEPTH or longer and not deep, it is there once
-        ask = ~deep & (held | (back[-1] == 0))
-        value = np.zeros(n)
-        p = _unigram(c, total, kinds)
-        for k in range(1, DEPTH + 1):
-            q = np.nonzero(ask & (length == k) & ~(is_hot if k == 1 else False))[0]
+            ctx.append(np.bincount(g, train, g[-1] + 1)[g])
+            # a context that ends before the document's start; longer ones that hold it are whole histories, settled before
+            length[(x > 0) & ((ctx[k] > 0) | (spread > k))] = k + 1
+        deep = held & (length == DEPTH)
+        goes = deep.copy()
+        goes[train] = np.bincount(group[-1], deep, group[-1][-1] + 1)[group[-1][train]] > 0
+        goes &= back[-1] > 0
+        wait = held & (length > 0) & (length <= spread) & ~deep
+        context, pair = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(1, DEPTH):
+            q = np.nonzero(held & (length == k) & ~wait)[0]
             if len(q):
-                key = group[k - 1].astype(np.uint64) << np.uint64(32) | w
+                key = group[k - 1].astype(np.uint64) << _U(32) | w
                 corpus = np.sort(key[train])
-                pair = np.searchsorted(corpus, key[q], "right") - np.searchsorted(corpus, key[q], "left")
-                value[q] = log_p(pair, ctx[k - 1][q], np.full(len(q), k), p[q])
-        none = ask & (length == 0)
-        value[none] = np.log10(p[none])
-        asked = ask & ~((length == 1) & is_hot)
-        out = []
-        for kind, mask in ((0, asked), (1, deep)):
-            ks, ats, values = [], [], []
-            hit = np.nonzero(mask)[0]
-            hit = hit[np.argsort(own[hit], kind="stable")]
-            cuts = np.searchsorted(own[hit], np.arange(len(chunks) + 1))
-            for k in range(len(chunks)):
-                h = hit[cuts[k] : cuts[k + 1]]
-                if len(h):
-                    s = h[np.argsort(at[h])]
-                    ks.append(chunks[k])
-                    ats.append(_pack(np.diff(at[s], prepend=0).astype(np.uint32)))
-                    values.append(value[s].tobytes() if kind == 0 else b"")
-            if ks:
-                out.append(_found(kind, ks, ats, values))
-        wait = np.nonzero(ask & (length == 1) & is_hot)[0]
-        if len(wait):
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(wait), 2, np.int32)), pa.array(np.array(chunks)[own[wait]]), pa.array([struct.pack("<q", x) for x in at[wait]], pa.binary()), pa.array([b""] * len(wait), pa.binary()), pa.array(back[0][wait].astype(np.int64)), pa.array(w[wait].astype(np.int64)), pa.array(p[wait])], names=[x.split()[0] for x in FOUND.split(", ")]))
-        both = is_hot & train
-        if both.any():
-            key, m = np.unique(back[0][both].astype(np.uint64) << np.uint64(32) | w[both], return_counts=True)
-            z = len(key)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(z, 3, np.int32)), pa.nulls(z, pa.int64()), pa.nulls(z, pa.binary()), pa.nulls(z, pa.binary()), pa.array((key >> np.uint64(32)).astype(np.int64)), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(m.astype(float))], names=[x.split()[0] for x in FOUND.split(", ")]))
-        schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("at", pa.binary()), ("value", pa.binary()), ("key", pa.int64()), ("word", pa.int64()), ("count", pa.float64())])
-        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+                pair[q] = np.searchsorted(corpus, key[q], "right") - np.searchsorted(corpus, key[q], "left")
+                context[q] = ctx[k - 1][q]
+        done = np.nonzero(held & (length > 0) & ~wait & ~deep)[0]
+        out = _by_chunk(0, chunks, own[done], at[done], length[done], context[done], pair[done])
+        hit = np.nonzero(goes)[0]
+        out += _by_chunk(1, chunks, own[hit], at[hit])
+        for k in range(1, DEPTH):
+            q = np.nonzero(wait & (length == k))[0]
+            if len(q):
+                z = len(q)
+                out.append(_batch(FOUND, kind=np.full(z, 2), chunk=np.array(chunks)[own[q]], gram=grams[k - 1][q].view(np.int64), word=w[q].astype(np.int64), n=at[q] * DEPTH + k))
+            q = np.nonzero(train & (spread >= k))[0]
+            if len(q):
+                key, first, many = np.unique(_mix(grams[k - 1][q]) ^ w[q], return_index=True, return_counts=True)
+                out.append(_batch(FOUND, kind=np.full(len(key), 3), gram=grams[k - 1][q][first].view(np.int64), word=w[q][first].astype(np.int64), n=many))
+        return _table(FOUND, out)
 
     return run
 
 
-OUT = "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, run long, run2 long, train int, asks int, tokens binary, counts binary"
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-
+# -- windows
 
-def _batch(schema: str, n: int, **columns) -> pa.RecordBatch:
-    """A batch of the schema; columns not given are null."""
-    names = [c.split() for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], _TYPES[t]) if k in columns else pa.nulls(n, _TYPES[t]) for k, t in names], names=[k for k, _ in names])
 
+def _flags(x: Chunk, found: list[dict], last: list[dict]) -> np.ndarray:
+    """Places whose contexts go on: found's, and the ranges that were sent as others; last: the ranges that were the same."""
+    on = np.zeros(len(x.s), bool)
+    for r in found:
+        on[np.cumsum(_unpack(r["block"])[0], dtype=np.int64)] = True
+    for r in last:
+        here, there, n = _unpack(r["block"])
+        on[spans(here.astype(np.int64), n.astype(np.int64))] |= on[spans(there.astype(np.int64), n.astype(np.int64))]
+    return on
 
-def _runs_and_scores(total: int, kinds: int):
-    """Of chunks with what tier 1 found of them: each document's base score and settled score, and the runs of deep positions."""
-
-    def scores(x: Chunk, row: dict) -> pa.RecordBatch:
-        p = _unigram(x.c, total, kinds)
-        value = np.zeros(len(x.t))
-        first = x.place == 0
-        value[first] = np.log10(p[first])
-        sure = ~x.heldt & (x.place >= DEPTH)
-        one = np.ones(int(sure.sum()))
-        value[sure] = log_p(one, one, x.place[sure], p[sure])
-        for a, v in zip(row["at"] or (), row["value"] or (), strict=True):
-            value[np.cumsum(_unpack(a, np.uint32), dtype=np.int64)] = np.frombuffer(v, float)
-        m = len(x.ends)
-        known, base, score = (np.add.reduceat(v, x.starts) for v in ((x.c > 0).astype(np.int64), np.log10(p), value))
-        return _batch(OUT, m, chunk=np.full(m, x.chunk), doc=np.arange(m, dtype=np.int32), doc_id=x.ids, held_out=x.held, n_tokens=x.ends - x.starts, n_known=known, base=base, score=score)
-
-    def runs(x: Chunk, row: dict) -> Iterator[pa.RecordBatch]:
-        deep = np.zeros(len(x.t) + 1, np.int8)
-        for b in row["deep"] or ():
-            deep[np.cumsum(_unpack(b, np.uint32), dtype=np.int64)] = 1
-        edge = np.diff(deep, prepend=0)
-        start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        # a document's first places aren't deep, so runs don't cross documents
-        cols: dict[str, list] = {k: [] for k in ("doc", "run", "run2", "train", "asks", "tokens", "counts")}
-        signed = struct.Struct("<q")
-        for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            raw = x.t[s - DEPTH : e].tobytes()
-            train, whole = not x.heldt[s], bool(x.place[s] == DEPTH)
-            seed = 11 if train and not whole else 13 if train else 15
-            values = int(x.doc[s]), signed.unpack(xxhash.xxh64_digest(raw, seed))[0], signed.unpack(xxhash.xxh64_digest(raw, seed + 1))[0], int(train), int(not train or whole), raw, x.c[s - DEPTH : e].astype(np.int64).tobytes() if not train or whole else b""
-            for c, v in zip(cols.values(), values, strict=True):
-                c.append(v)
-        for k in range(0, len(start), 50_000):
-            part = {n: c[k : k + 50_000] for n, c in cols.items()}
-            yield _batch(OUT, len(part["doc"]), chunk=[x.chunk] * len(part["doc"]), **part)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1).to_pylist()[0]
-                x = Chunk(row)
-                yield scores(x, row)
-                yield from runs(x, row)
 
-    return run
+def _least(v: np.ndarray, w: int) -> np.ndarray:
+    """At each place the least of the w values that end there."""
+    out, have = v.copy(), 1
+    while have < w:
+        step = min(have, w - have)
+        out[step:] = np.minimum(out[step:], out[:-step])
+        have += step
+    return out
 
 
-def suffix_ranks(t: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The positions in the order of the tokens before them, backwards; left: how many tokens a position may look back.
+def _cells(x: Chunk, on: np.ndarray, w: int, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys): places that share their last w tokens have equal keys, and neighbours often have.
 
-    Prefix doubling: a rank is the first place of a group of equal contexts; only groups that may still split are sorted again.
+    Up to 4 tokens the key is the rarest one's, or, if all are among the common ones, all tokens'; of more it is that of the least-hashed
+    four in a row.
     """
-    n = len(left)
-    at = np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for k, ok in ((1, left > 0), (2, left > 1)):
-        key[ok] |= t[at[ok] - k].astype(np.uint64) << np.uint64(32 * (2 - k))
-    order = np.argsort(key).astype(np.int32)
-    rank = np.empty(n, np.int32)
-    act, ks, step = at, key[order], 1
-    del key
-    while len(act):
-        flag = np.concatenate([[True], ks[1:] != ks[:-1]])
-        starts = np.nonzero(flag)[0]
-        rank[order[act]] = act[np.maximum.accumulate(np.where(flag, np.arange(len(act)), 0))]
-        step *= 2
-        keep = (np.diff(starts, append=len(act)) > 1) & (np.maximum.reduceat(left[order[act]], starts) > step)
-        act = act[np.repeat(keep, np.diff(starts, append=len(act)))]
-        if len(act):
-            i = order[act]
-            far = np.where(left[i] > step, rank[i - np.minimum(step, i)] + np.int64(1), 0)
-            key = rank[i].astype(np.uint64) << np.uint64(32) | far.astype(np.uint64)
-            s = np.argsort(key)
-            order[act], ks = i[s], key[s]
-    return order
-
-
-class Corpus:
-    """Texts end to end with the hashes of all their prefixes, for equality of contexts in constant time."""
-
-    B = 0x9E3779B97F4A7C15
-
-    def __init__(self, texts: list[np.ndarray]):
-        # text k has len + 1 positions; a gap token between texts keeps positions apart
-        gap = np.zeros(1, np.uint32)
-        self.t = np.concatenate([y for x in texts for y in (x, gap)]) if texts else np.zeros(0, np.uint32)
-        sizes = np.array([len(x) + 1 for x in texts], np.int64)
-        self.first = np.cumsum(sizes) - sizes
-        self.left = (np.arange(len(self.t)) - np.repeat(self.first, sizes)).astype(np.int32)
-        mixed = (self.t.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        up = np.full(len(self.t) + 1, self.B, np.uint64)
-        up[:1] = 1
-        up = np.multiply.accumulate(up)
-        down = np.full(len(self.t) + 1, pow(self.B, -1, 1 << 64), np.uint64)
-        down[:1] = 1
-        self.down = np.multiply.accumulate(down)
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[:-1])])
+    at = np.nonzero(on)[0]
+    if w <= 4:
+        top = ~_least(~x.s, w)[at - 1]
+        key = _mix(top.astype(np.uint64) + _U(3))
+        few = np.nonzero(top <= common)[0]
+        key[few] = _mix(x.hash(at[few] - w, at[few]) + _U(5))
+        return at, key
+    g = np.zeros(len(x.s), np.uint64)
+    i = np.arange(3, len(x.s))
+    g[3:] = _mix(x.hash(i - 3, i + 1))
+    return at, _mix(_least(g, w - 3)[at - 1] + _U(1))
+
+
+def _windows(w: int, k: int, shards: int, common: int):
+    """Segments of flagged neighbours with one key and up to k tokens before them; equal ones of a chunk travel once, with a weight."""
 
-    def hash(self, i: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Of the length tokens before position i."""
-        return (self.sum[i] - self.sum[i - length]) * self.down[i - length]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, row in _rows(batches):
+            at, key = _cells(x, _flags(x, row["on"], row["same"] or ()), w, common)
+            if not len(at):
+                continue
+            held = x.of_held()[at]
+            new = np.concatenate([[True], (np.diff(at) > 1) | (key[1:] != key[:-1])])
+            i = np.nonzero(new)[0]
+            a, n = at[i], np.diff(i, append=len(at))
+            c = np.minimum(x.left[a], k)
+            whole = _mix(x.hash(a - c, a + n) ^ _mix((c * 4 + held[i]).astype(np.uint64) << _U(32) | n.astype(np.uint64)))
+            _, first, inverse, weight = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            same = np.nonzero(first[inverse] != np.arange(len(a)))[0]
+            shard = _part(key[i][first], shards)
+            rows = []
+            if len(same):
+                rows.append((int(x.chunk % shards), x.chunk, b"=" + _pack(*map(_small, (a[same], a[first[inverse[same]]], n[same])))))
+            for s, p in _cut(shard, shards):
+                u = first[p]
+                rows.append((s, x.chunk, b"+" + _pack(_small(a[u]), _small(c[u]), _small(n[u]), held[i][u].astype(np.uint8), _small(weight[p]), x.s[spans(a[u] - c[u], c[u] + n[u])])))
+            yield from _sent(MOVED, rows)
+
+    return run
 
 
-def _farthest(holds, bound: np.ndarray) -> np.ndarray:
+def _farthest(holds: Callable, bound: np.ndarray) -> np.ndarray:
     """For each row the greatest d from 0 to bound for which holds(rows, d), which is monotone and true for 0: steps double, then halve."""
     lo, hi = np.zeros(len(bound), np.int64), bound + 1
     act, step = np.nonzero(bound > 0)[0], 1
@@ -478,144 +607,208 @@ def _farthest(holds, bound: np.ndarray) -> np.ndarray:
     return lo
 
 
-class Index:
-    """A suffix array of weighted texts over the contexts of DEPTH tokens and more, and where the contexts of each DEPTH tokens lie in it."""
+class Texts:
+    """Segments end to end; a context is the place i after it and its length."""
+
+    def __init__(self, t: np.ndarray):
+        self.t = t
+        self.total, self.down = sums(t)
+
+    def hash(self, i: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (self.total[i] - self.total[i - length]) * self.down[i - length]
 
-    def __init__(self, texts: list[np.ndarray], weights: list[int]):
-        self.c = c = Corpus(texts)
-        order = suffix_ranks(c.t, c.left)
-        self.order = order[c.left[order] >= DEPTH]
-        h = c.hash(self.order, np.full(len(self.order), DEPTH))
+    def common(self, i: np.ndarray, j: np.ndarray, bound: np.ndarray, least: int | np.ndarray) -> np.ndarray:
+        """How many tokens the contexts before i and j share, at least least and at most bound."""
+        least = np.broadcast_to(least, i.shape)
+        return least + _farthest(lambda r, d: self.hash(i[r], least[r] + d) == self.hash(j[r], least[r] + d), bound - least)
+
+    def order(self, i: np.ndarray, left: np.ndarray, group: np.ndarray, share: int) -> np.ndarray:
+        """Distinct contexts in the order of their tokens backwards, by ascending group; those of a group share that many tokens.
+
+        Each round takes one of a group: the others come before or after it by the token where they part, nearer the more they share,
+        and those that part from it alike at one place are a group of the next round.
+        """
+        order = np.argsort(group, kind="stable")
+        g = group[order]
+        new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+        start = np.nonzero(new)[0]
+        size = np.diff(start, append=len(g))
+        known = np.full(len(start), share)
+        while True:
+            keep = size > 1
+            start, size, known = start[keep], size[keep], known[keep]
+            if not len(start):
+                return order
+            at = spans(start, size)
+            of = np.repeat(np.arange(len(start)), size)
+            me, pivot = order[at], order[start + size // 2][of]
+            n = self.common(i[me], i[pivot], np.minimum(left[me], left[pivot]), known[of])
+            own = me == pivot
+            x, y = self.t[np.maximum(i[me] - n - 1, 0)], self.t[np.maximum(i[pivot] - n - 1, 0)]
+            top = int(left.max()) + 1
+            side = np.where(own, top, np.where(x < y, n, 2 * top - n)).astype(np.int64)
+            sort = np.lexsort((side, of))
+            order[at] = me[sort]
+            key = of[sort] * (2 * top + 1) + side[sort]
+            cut = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            start, size, known = at[cut], np.diff(cut, append=len(key)), n[sort][cut]
+
+
+class Index:
+    """A suffix array of distinct contexts that share at least w tokens with others, and the weights of the tokens that follow them."""
+
+    def __init__(self, texts: Texts, i: np.ndarray, left: np.ndarray, word: np.ndarray, weight: np.ndarray, w: int):
+        self.texts, self.w = texts, w
+        whole, first, self.inverse = np.unique(texts.hash(i, left), return_index=True, return_inverse=True)
+        i, left = i[first], left[first]
+        order = texts.order(i, left, texts.hash(i, np.full(len(i), w)), w)
+        self.i, self.left, self.whole = i[order], left[order], whole
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[self.inverse]
+        h = texts.hash(self.i, np.full(len(order), w))
         starts = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
         by = np.argsort(h[starts])
         self.keys, self.lo, self.hi = h[starts][by], starts[by], np.append(starts[1:], len(h))[by]
-        weight = np.repeat(np.array(weights, np.int64), [len(x) + 1 for x in texts])
-        self.upto = np.concatenate([[0], np.cumsum(weight[self.order])])
-
-    def common(self, q: Corpus, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common context of q's positions i and the index's j, which share DEPTH tokens."""
-        bound = np.minimum(q.left[i], self.c.left[j]).astype(np.int64) - DEPTH
-        return DEPTH + _farthest(lambda r, d: q.hash(i[r], d + DEPTH) == self.c.hash(j[r], d + DEPTH), bound)
+        self.upto = np.concatenate([[0], np.cumsum(np.bincount(place, weight, len(order)).astype(np.int64))])
+        # pairs of the following token and the place in the order, for the weight of a token after a range of contexts
+        by = np.lexsort((place, word))
+        self.pairs = word[by].astype(np.uint64) << _U(32) | place[by].astype(np.uint64)
+        self.pair_upto = np.concatenate([[0], np.cumsum(weight[by])])
 
-    def counts(self, q: Corpus, i: np.ndarray, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(longest context before i that the index has, its weight), or the weight of the need tokens before i; 0 below DEPTH.
+    def longest(self, i: np.ndarray, left: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per asked context: the longest that the index has, its weight, and the weight with that word after it.
 
-        Binary search by the order of contexts for the place of i, then for the ends of the range about it that shares the length.
+        Binary search in the range of the last w tokens for the context's place, then for the ends of the range that shares the length.
         """
-        best, weight = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-        if not len(self.keys) or not len(i):
-            return best, weight
-        h = q.hash(i, np.full(len(i), DEPTH))
+        x, n = self.texts, len(i)
+        best, context, pair = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if not n or not len(self.keys):
+            return best, context, pair
+        h = x.hash(i, np.full(n, self.w))
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         row = np.nonzero(self.keys[k] == h)[0]
         first, last = self.lo[k[row]], self.hi[k[row]]
+        p, bound = i[row], left[row]
         lo, hi, act = first.copy(), last.copy(), np.arange(len(row))
-        near = np.zeros(len(row), np.int64)
-        top = np.zeros(len(row), np.int64)
+        near, top = first.copy(), np.zeros(len(row), np.int64)
         while len(act):
             mid = (lo[act] + hi[act]) // 2
-            j, p = self.order[mid], i[row[act]]
-            n = self.common(q, p, j)
-            more = n > top[act]
-            top[act[more]], near[act[more]] = n[more], mid[more]
-            q_ends, c_ends = n == q.left[p], n == self.c.left[j]
-            right = ~q_ends & (c_ends | (self.c.t[np.maximum(j - n - 1, 0)] < q.t[np.maximum(p - n - 1, 0)]))
+            j, q = self.i[mid], p[act]
+            m = x.common(q, j, np.minimum(bound[act], self.left[mid]), self.w)
+            more = m > top[act]
+            top[act[more]], near[act[more]] = m[more], mid[more]
+            q_ends, c_ends = m == bound[act], m == self.left[mid]
+            right = ~q_ends & (c_ends | (x.t[np.maximum(j - m - 1, 0)] < x.t[np.maximum(q - m - 1, 0)]))
             lo[act[right]] = mid[right] + 1
             hi[act[~right]] = mid[~right]
             act = act[lo[act] < hi[act]]
-        best[row] = top
-        length = top if need is None else need[row]
-        ok = np.nonzero(top >= length)[0]
-        row, near, length, first, last = row[ok], near[ok], length[ok], first[ok], last[ok]
-        want = q.hash(i[row], length)
+        want = x.hash(p, top)
 
         def fits(r: np.ndarray, at: np.ndarray) -> np.ndarray:
-            j = self.order[at]
-            same = self.c.left[j] >= length[r]
-            return same & (self.c.hash(j, np.where(same, length[r], 0)) == want[r])
+            same = self.left[at] >= top[r]
+            return same & (x.hash(self.i[at], np.where(same, top[r], 0)) == want[r])
 
-        down = _farthest(lambda r, d: fits(r, near[r] - d), near - first)
-        up = _farthest(lambda r, d: fits(r, near[r] + d), last - 1 - near)
-        weight[row] = self.upto[near + up + 1] - self.upto[near - down]
-        return best, weight
+        a = near - _farthest(lambda r, d: fits(r, near[r] - d), near - first)
+        z = near + _farthest(lambda r, d: fits(r, near[r] + d), last - 1 - near) + 1
+        v = word[row].astype(np.uint64) << _U(32)
+        best[row], context[row] = top, self.upto[z] - self.upto[a]
+        pair[row] = self.pair_upto[np.searchsorted(self.pairs, v | z.astype(np.uint64))] - self.pair_upto[np.searchsorted(self.pairs, v | a.astype(np.uint64))]
+        return best, context, pair
 
-    def longest(self, asked: list[np.ndarray], whole: list[bool]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per asked text and position from DEPTH on: longest context, its weight, and its weight before the text's own token.
 
-        Of whole texts it is known that all before a position is the longest context; a shard that has less counts nothing.
-        """
-        if not asked:
-            return []
-        q = Corpus(asked)
-        sizes = np.array([len(x) - DEPTH for x in asked])
-        i = np.concatenate([np.arange(f + DEPTH, f + len(x)) for f, x in zip(q.first, asked, strict=True)])
-        full = np.repeat(np.array(whole), sizes)
-        best, context = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-        context[full] = self.counts(q, i[full], q.left[i[full]].astype(np.int64))[1]
-        best[full] = np.where(context[full] > 0, q.left[i[full]], 0)
-        best[~full], context[~full] = self.counts(q, i[~full])
-        pair = np.zeros(len(i), np.int64)
-        hit = np.nonzero(context)[0]
-        pair[hit] = self.counts(q, i[hit] + 1, best[hit] + 1)[1]
-        cuts = np.cumsum(sizes)[:-1]
-        return list(zip(np.split(best, cuts), np.split(context, cuts), np.split(pair, cuts), strict=True))
-
-
-def _search(t: pa.Table) -> pa.Table:
-    """A tier-2 shard: an index of its corpus runs, and what it has for the runs to score, a block at a time."""
-    visit = np.array(t.column("visit").to_pylist())
-    corpus, asked = t.filter(pa.array(visit == 0)), t.filter(pa.array(visit == 1))
-    index = Index([np.frombuffer(x, np.uint32) for x in corpus.column("tokens").to_pylist()], corpus.column("weight").to_pylist())
-    runs: list[int] = []
-    runs2: list[int] = []
-    out: list[bytes] = []
-    at = 0
-    while at < asked.num_rows:
-        size, end = 0, at
-        sizes = pc.binary_length(asked.column("tokens").slice(at, 100_000)).to_pylist()
-        while end < asked.num_rows and end - at < len(sizes) and size < 4 * ASKED_TOKENS:
-            size += sizes[end - at]
-            end += 1
-        b = asked.slice(at, end - at)
-        at = end
-        found = index.longest([np.frombuffer(x, np.uint32) for x in b.column("tokens").to_pylist()], [bool(w) for w in b.column("train").to_pylist()])
-        for r, r2, f in zip(b.column("run").to_pylist(), b.column("run2").to_pylist(), found, strict=True):
-            if f[1].any():
-                runs.append(r)
-                runs2.append(r2)
-                out.append(np.concatenate(f).tobytes())
-    return pa.table({"run": pa.array(runs, pa.int64()), "run2": pa.array(runs2, pa.int64()), "got": pa.array(out, pa.binary())})
-
-
-def _combine(total: int, kinds: int):
-    """A run's log10 probability over its deep positions from the shards' findings: the longest context, counts summed over shards that have it."""
+def _look_up(w: int, k: int):
+    """A shard of windows: an index of its training contexts, and what it has for the asked ones."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        chunks, blocks, out = [], [], []
+        for c, b in zip(shard.column("chunk").to_pylist(), shard.column("block").to_pylist(), strict=True):
+            if b[:1] == b"=":
+                out.append(_batch(FOUND, kind=[4], chunk=[c], block=[b[1:]]))
+            else:
+                chunks.append(c)
+                blocks.append(_unpack(b[1:]))
+        if not blocks:
+            return _table(FOUND, out)
+        own = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(b[0]) for b in blocks])
+        a, c, n, held, weight = (np.concatenate([b[x].astype(np.int64) for b in blocks]) for x in range(5))
+        x = Texts(np.concatenate([b[5] for b in blocks]))
+        del blocks
+        start = np.cumsum(c + n) - n
+        # every place of every segment
+        step = spans(np.zeros(len(n), np.int64), n)
+        own, at, i, held, weight = np.repeat(own, n), np.repeat(a, n) + step, np.repeat(start, n) + step, np.repeat(held, n).astype(bool), np.repeat(weight, n)
+        left = np.minimum(np.repeat(c, n) + step, k)
+        word = x.t[i]
+        t = np.nonzero(~held)[0]
+        q = np.nonzero(held)[0]
+        index = Index(x, i[t], left[t], word[t], weight[t], w)
+        best, context, pair = index.longest(i[q], left[q], word[q])
+        # a context that reaches the document's start goes no further
+        on = (best == k) & (x.t[np.maximum(i[q] - k, 0)] > 0)
+        full = np.unique(x.hash(i[q[on]], np.full(int(on.sum()), k)))
+        goes = np.isin(index.whole, full)[index.inverse] & (left[t] == k)
+        done = q[~on]
+        out += _by_chunk(0, chunks, own[done], at[done], best[~on], context[~on], pair[~on])
+        hit = np.concatenate([q[on], t[goes]])
+        out += _by_chunk(1, chunks, own[hit], at[hit])
+        return _table(FOUND, out)
+
+    return run
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _score(total: int, kinds: int, documents: int, parts: int):
+    """Each document's scores, from what was found of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = ([], [], [])
-            for r in b.to_pylist():
-                best = context = pair = None
-                for g in r["gots"]:
-                    x, y, z = np.frombuffer(g, np.int64).reshape(3, -1)
-                    if best is None:
-                        best, context, pair = x, y.copy(), z.copy()
-                        continue
-                    top = np.maximum(best, x)
-                    context = context * (best == top) + y * (x == top)
-                    pair = pair * (best == top) + z * (x == top)
-                    best = top
-                p = _unigram(np.frombuffer(r["counts"], np.int64)[DEPTH:], total, kinds)
-                value = log_p(pair, context, best, p)
-                if r["train"]:  # instead of what the chunk took for granted: that the whole history occurs once
-                    one = np.ones(len(p))
-                    value = value - log_p(one, one, best, p)
-                for k, v in zip(keys, (r["run"], r["run2"], float(value.sum())), strict=True):
-                    k.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.float64())], names=["run", "run2", "value"])
+        for x, row in _rows(batches):
+            c = x.seen[x.local]
+            shared = _shared(x, row, parts)
+            length, context, pair = (np.zeros(len(x.s), np.int64) for _ in range(3))
+            steps: dict[int, tuple[list, list]] = {}
+            for r in row["found"] or ():
+                steps.setdefault(r["step"], ([], []))[r["kind"] == 4].append(_unpack(r["block"]))
+            for step in sorted(steps):
+                for at, *values in steps[step][0]:
+                    at = np.cumsum(at, dtype=np.int64)
+                    for into, v in zip((length, context, pair), values, strict=True):
+                        into[at] = v
+                for here, there, n in steps[step][1]:
+                    i, j = (spans(p.astype(np.int64), n.astype(np.int64)) for p in (here, there))
+                    for into in (length, context, pair):
+                        into[i] = into[j]
+            for r in row["waited"] or ():
+                length[r["at"]], context[r["at"]], pair[r["at"]] = r["length"], r["context"], r["pair"]
+            # whole histories: the start of a document is the context of its first token
+            before = np.concatenate([[0], shared[:-1]])
+            before[x.first + 1] = documents
+            at = np.nonzero((x.left > 0) & (before > 0))[0]
+            length[at], context[at], pair[at] = x.left[at], before[at], shared[at]
+            real = x.left > 0
+            p = _unigram(c[real], total, kinds)
+            value = log_p(pair[real], context[real], length[real], p)
+            starts = x.ends - x.sizes
+            known, base, score = (np.add.reduceat(v, starts) for v in ((c[real] > 0).astype(np.int64), np.log10(p), value))
+            ids = [None if n else int(i) for i, n in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), strict=True)]
+            yield _batch(OUT, doc_id=ids, held_out=x.held, n_tokens=x.sizes, n_known=known, base=base, score=score)
 
     return run
 
 
+def _listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A row a chunk (k) with the rows of df as a list of structs."""
+    return df.groupBy(F.col("chunk").alias("k")).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _with(chunks: DataFrame, *lists: DataFrame) -> DataFrame:
+    for x in lists:
+        chunks = chunks.join(x.hint("merge"), F.col("chunk") == F.col("k"), "left").drop("k")
+    return chunks
+
+
 def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; null and empty texts are just their end.
 
@@ -627,72 +820,68 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), fold) == held_out).alias("held"), "text")
     chunks_path = write_staged(named.mapInArrow(_chunks, CHUNK), "chunks")
     chunks = read_staged(spark, chunks_path)
-    # counts and ranks of all words: a chunk's words are exchanged once each, in blocks, not a row per token
-    n_tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    if not n_tokens:
+    r = chunks.agg(F.sum("n").alias("n"), F.sum("train").alias("train"), F.count(F.lit(1)).alias("chunks")).first()
+    if not r.n:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // RANGE_TOKENS))
+    documents = r.train
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-r.n // RANGE_TOKENS))
+    # counts and ranks of all words: a chunk's words are exchanged once each, in blocks, not a row per token
     of_parts = chunks.select("chunk", "words", "counts").mapInArrow(_words(shards), "part int, chunk long, block binary")
-    ranks_path = write_staged(of_parts.groupBy("part").applyInArrow(_rank(shards, shards), "chunk long, block binary, n long, v long, hot long"), "ranks")
+    ranks_path = write_staged(of_parts.groupBy("part").applyInArrow(_rank(shards), RANKS), "ranks")
     ranks = read_staged(spark, ranks_path)
-    r = ranks.where("chunk is null and hot is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    total, kinds = r.n, r.v
-    # tokens in so many contexts that these are split: fewer than 4 times the shards
-    often = {h.hot: h.v for h in ranks.where(F.col("hot").isNotNull() & (F.col("v") > total / (4 * shards))).select("hot", "v").collect()}
-    hot = np.array(sorted(often), np.uint32)
-    by_chunk = ranks.where("chunk is not null").groupBy(F.col("chunk").alias("k")).agg(F.collect_list("block").alias("blocks"))
-    full_path = write_staged(chunks.drop("words", "counts").join(by_chunk, F.col("chunk") == F.col("k")).drop("k"), "ranked")
+    s = ranks.where("chunk is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    total, kinds = s.n, s.v
+    blocks = ranks.where("chunk is not null").groupBy(F.col("chunk").alias("k")).agg(F.collect_list("block").alias("blocks"))
+    full_path = write_staged(chunks.drop("words", "counts", "n", "train").join(blocks.hint("merge"), F.col("chunk") == F.col("k")).drop("k"), "ranked")
     full = read_staged(spark, full_path)
+    thin = full.drop("ids", "nulls")
     remove(spark, chunks_path)
     remove(spark, ranks_path)
     release(spark)
-    blocks = full.mapInArrow(_positions(hot, shards), "shard int, chunk long, block binary")
-    found_path = write_staged(blocks.groupBy("shard").applyInArrow(_settle(hot, total, kinds), FOUND), "found")
-    found = read_staged(spark, found_path)
+    # whole histories
+    ladder_keys, hot_rows = _scout(shards, max(2, RANGE_TOKENS // 4 // max(1, r.chunks)))
+    ladder = staged(thin.mapInArrow(ladder_keys, TALLY).groupBy("part").applyInArrow(_tally, TALLY), "ladder")
+    with_ladder = _with(thin, _listed(ladder, "ladder", "part", "block"))
+    histories = staged(with_ladder.mapInArrow(_ask_histories(shards), TALLY).groupBy("part").applyInArrow(_tally, TALLY), "histories")
+    told = (_listed(ladder, "ladder", "part", "block"), _listed(histories, "histories", "part", "block"))
+    # contexts that are too frequent for a shard: at most a few for each RANGE_TOKENS tokens, by counts that miss at most half
+    often = thin.mapInArrow(hot_rows, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= RANGE_TOKENS // 4).collect()
+    hot = [np.array(sorted(o.gram for o in often if o.level == k), np.int64).view(np.uint64) for k in range(1, DEPTH)]
+    moved = _with(thin, *told).mapInArrow(_positions(hot, shards, shards), MOVED)
+    found = [staged(moved.groupBy("shard").applyInArrow(_settle(hot), FOUND), "found")]
     release(spark)
-    by_chunk = found.where("kind < 2").groupBy(F.col("chunk").alias("k")).agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.struct("at", "value"))).alias("z"), F.collect_list(F.when(F.col("kind") == 1, F.col("at"))).alias("deep")
-    )
-    by_chunk = by_chunk.select("k", F.col("z.at").alias("at"), F.col("z.value").alias("value"), "deep")
-    with_found = full.join(by_chunk, F.col("chunk") == F.col("k"), "left").drop("k")
-    told = staged(with_found.mapInArrow(_runs_and_scores(total, kinds), OUT), "told")
-    scores, runs = told.where("doc_id is not null or held_out is not null"), told.where("run is not null")
-    # hot contexts of one token: counts of the pairs summed over the shards
-    pairs = found.where("kind = 3").groupBy("key", "word").agg(F.sum("count").alias("pair"))
-    wait = found.where("kind = 2").select("chunk", "at", "key", "word", F.col("count").alias("p")).join(pairs, ["key", "word"], "left")
-    contexts = spark.createDataFrame([(int(k), int(c)) for k, c in often.items()] or [(-1, 0)], "key long, ctx long")
-    wait = wait.join(F.broadcast(contexts), "key")  # a row a hot token
-    m = F.lit(MASS[0])
-    wait = wait.select("chunk", "at", F.log10((F.coalesce("pair", F.lit(0.0)) + m * F.col("p")) / (F.col("ctx") + m)).alias("v"))
-    owners = full.select("chunk", "ends")
-
-    def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                at = np.array([struct.unpack("<q", x)[0] for x in r["ats"]])
-                doc = np.searchsorted(np.frombuffer(r["ends"], np.int64), at, "right").astype(np.int32)
-                v = np.bincount(doc, np.array(r["vs"]))
-                d = np.unique(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), r["chunk"])), pa.array(d), pa.array(v[d])], names=["chunk", "doc", "v"])
-
-    wait = wait.groupBy("chunk").agg(F.collect_list("at").alias("ats"), F.collect_list("v").alias("vs")).join(owners, "chunk").mapInArrow(owner, "chunk long, doc int, v double")
-    wait = staged(wait, "wait")
+    # frequent contexts: counts of context and token summed over the shards
+    pairs = found[0].where("kind = 3").groupBy("gram", "word").agg(F.sum("n").alias("pair"))
+    contexts = pairs.groupBy("gram").agg(F.sum("pair").alias("context"))
+    wait = found[0].where("kind = 2").select("chunk", "gram", "word", "n").join(pairs, ["gram", "word"], "left").join(contexts, "gram")
+    wait = wait.select("chunk", F.expr(f"n div {DEPTH}").alias("at"), (F.col("n") % DEPTH).alias("length"), "context", F.coalesce("pair", F.lit(0)).alias("pair"))
+    waited = _listed(wait, "waited", "at", "length", "context", "pair")
+    # windows, until no context goes on
+    w, k, same = DEPTH, 4 * DEPTH, None
+    while True:
+        on = found[-1].where("kind = 1")
+        n = on.agg(F.sum(F.length("block"))).first()[0] or 0
+        if not n:
+            break
+        lists = thin.join(_listed(on, "on", "block").hint("merge"), F.col("chunk") == F.col("k")).drop("k")
+        lists = _with(lists, _listed(same, "same", "block")) if same is not None else lists.withColumn("same", F.lit(None).cast("array<struct<block:binary>>"))
+        parts = _parts(n, w, k, shards)
+        moved = lists.mapInArrow(_windows(w, k, parts, shards + 4 * len(hot[0])), MOVED)
+        found.append(staged(moved.groupBy("shard").applyInArrow(_look_up(w, k), FOUND), "found"))
+        release(spark)
+        same = found[-1].where("kind = 4")
+        w, k = k, GROWTH * k
+    every = None
+    for step, f in enumerate(found):
+        f = f.where("kind in (0, 4)").select("chunk", F.lit(step).alias("step"), "kind", "block")
+        every = f if every is None else every.unionByName(f)
+    rows = _with(full, *told, _listed(every, "found", "step", "kind", "block"), waited).mapInArrow(_score(total, kinds, documents, shards), OUT)
+    rows = staged(rows, "scores")
     remove(spark, full_path)
-    remove(spark, found_path)
-    release(spark)
-    # tier 2: equal runs are one
-    kinds_of = runs.groupBy("run", "run2").agg(F.first("tokens").alias("tokens"), F.first("counts").alias("counts"), F.first("asks").alias("asks"), F.first("train").alias("train"), F.sum("train").alias("weight"))
-    kinds_of = staged(kinds_of, "kinds")
-    n_deep = kinds_of.where("weight > 0").agg(F.sum(F.length("tokens") / 4)).first()[0] or 0
-    parts = max(1, -(-int(n_deep) // SHARD_TOKENS))
-    cell = F.pmod(F.xxhash64("run", "run2"), F.lit(parts)).cast("int")
-    some = ("visit", "run", "run2", "weight", "train", "tokens")
-    corpus = kinds_of.where("weight > 0").withColumn("visit", F.lit(0)).select(cell.alias("cell"), *some)
-    asked = kinds_of.where("asks = 1").withColumn("visit", F.lit(1)).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"), *some)
-    got = corpus.unionByName(asked).groupBy("cell").applyInArrow(_search, "run long, run2 long, got binary")
-    got = got.groupBy(F.col("run").alias("r"), F.col("run2").alias("r2")).agg(F.collect_list("got").alias("gots"))
-    values = kinds_of.join(got, (F.col("run") == F.col("r")) & (F.col("run2") == F.col("r2"))).select("run", "run2", "train", "counts", "gots").mapInArrow(_combine(total, kinds), "run long, run2 long, value double")
-    deep = runs.select("chunk", "doc", "run", "run2").join(staged(values, "values"), ["run", "run2"]).groupBy("chunk", "doc").agg(F.sum("value").alias("v"))
-    more = deep.unionByName(wait).groupBy("chunk", "doc").agg(F.sum("v").alias("more"))
-    out = scores.join(more, ["chunk", "doc"], "left")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
+
+def _parts(block_bytes: int, w: int, k: int, least: int) -> int:
+    """Shards for windows: a flagged place takes about a byte of its blocks, and a share of k tokens in its segment of about w / 2 places."""
+    tokens = block_bytes * (1 + k / max(1.0, (w + 1) / 2))
+    return max(1, min(least, int(block_bytes // 20_000) + 1), int(tokens // SHARD_TOKENS))
