@@ -42,7 +42,7 @@ MASS = (16.0, 8.0, 4.0, 1.0)
 #: Growth of the windows after the first one, which ends at 4 * DEPTH.
 GROWTH = 8
 #: Tokens of a chunk of documents, of a shard of short contexts on average, and those shipped to a shard of windows.
-CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 2_000_000, 1_200_000, 3_000_000
+CHUNK_TOKENS, RANGE_TOKENS, SHARD_TOKENS = 1_500_000, 1_000_000, 2_500_000
 END = xxhash.xxh64_intdigest(b"", 7)
 _B = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -181,6 +181,8 @@ def _words(parts: int):
 
 def _cut(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     """(part, the places it has in ascending order) of the parts that have some."""
+    if parts < 1 << 16:
+        part = part.astype(np.uint16)  # sorted by digits
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.nonzero(np.diff(cuts))[0].tolist()]
@@ -388,24 +390,24 @@ def _ask_histories(parts: int):
 # -- contexts of up to DEPTH tokens
 
 
-def _grams(back: list[np.ndarray], hot: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(key of the shard, number of lengths for which the context is spread over shards, keys of the contexts of each length).
+def _grams(back: list[np.ndarray], hot: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(key of the shard, number of lengths for which the context is spread over shards, by length from 1 the places spread so and their contexts' keys).
 
     A key has as many tokens as it takes to be not frequent; where a frequent context is preceded by the document's start, any shard will do.
     """
-    grams, g = [], np.zeros(len(at), np.uint64)
-    for c in back:
-        g = _mix(g + _U(1) + c * _U(_B))
-        grams.append(g)
-    key, spread, more = grams[0].copy(), np.zeros(len(at), np.int8), np.ones(len(at), bool)
+    g = _mix(_U(1) + back[0] * _U(_B))
+    key, spread, levels = g, np.zeros(len(at), np.int8), []
+    hit = np.nonzero(np.isin(g, hot[0]))[0] if len(hot[0]) else np.zeros(0, np.int64)
+    g = g[hit]
     for k in range(DEPTH - 1):
-        if not len(hot[k]):
-            break
-        more &= np.isin(grams[k], hot[k]) & (back[k] > 0)
-        spread[more] = k + 1
-        key = np.where(more, np.where(back[k + 1] > 0, grams[k + 1], _mix(at.astype(np.uint64) + _U(7))), key)
-        more &= back[k + 1] > 0
-    return key, spread, grams
+        levels.append((hit, g))
+        spread[hit] = k + 1
+        c = back[k + 1][hit]
+        more = _mix(g + _U(1) + c * _U(_B))
+        key[hit] = np.where(c > 0, more, _mix(at[hit].astype(np.uint64) + _U(7)))
+        go = (c > 0) & np.isin(more, hot[k + 1]) if k + 2 < DEPTH else np.zeros(len(hit), bool)
+        hit, g = hit[go], more[go]
+    return key, spread, levels
 
 
 MOVED = "shard int, chunk long, block binary"
@@ -473,20 +475,20 @@ def _settle(hot: list[np.ndarray]):
         n = len(at)
         train = ~held
         # splits per place: keys of sorted shards are recomputed, since blocks don't carry them
-        _, spread, grams = _grams(back, hot, at)
+        _, spread, levels = _grams(back, hot, at)
         fresh = np.zeros(n, bool)
         fresh[:1] = True
         length, group, ctx = np.zeros(n, np.int8), [], []
         for k, x in enumerate(back):
             fresh[1:] |= x[1:] != x[:-1]
-            g = np.cumsum(fresh) - 1
+            g = np.cumsum(fresh, dtype=np.int32) - 1
             group.append(g)
-            ctx.append(np.bincount(g, train, g[-1] + 1)[g])
+            ctx.append(np.bincount(g[train], minlength=int(g[-1]) + 1).astype(np.int32)[g])
             # a context that ends before the document's start; longer ones that hold it are whole histories, settled before
             length[(x > 0) & ((ctx[k] > 0) | (spread > k))] = k + 1
         deep = held & (length == DEPTH)
         goes = deep.copy()
-        goes[train] = np.bincount(group[-1], deep, group[-1][-1] + 1)[group[-1][train]] > 0
+        goes[train] = np.bincount(group[-1][deep], minlength=int(group[-1][-1]) + 1)[group[-1][train]] > 0
         goes &= back[-1] > 0
         wait = held & (length > 0) & (length <= spread) & ~deep
         context, pair = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -501,15 +503,15 @@ def _settle(hot: list[np.ndarray]):
         out = _by_chunk(0, chunks, own[done], at[done], length[done], context[done], pair[done])
         hit = np.nonzero(goes)[0]
         out += _by_chunk(1, chunks, own[hit], at[hit])
-        for k in range(1, DEPTH):
-            q = np.nonzero(wait & (length == k))[0]
+        for k, (i, gram) in enumerate(levels, 1):
+            asked = wait[i] & (length[i] == k)
+            q = i[asked]
             if len(q):
-                z = len(q)
-                out.append(_batch(FOUND, kind=np.full(z, 2), chunk=np.array(chunks)[own[q]], gram=grams[k - 1][q].view(np.int64), word=w[q].astype(np.int64), n=at[q] * DEPTH + k))
-            q = np.nonzero(train & (spread >= k))[0]
-            if len(q):
-                key, first, many = np.unique(_mix(grams[k - 1][q]) ^ w[q], return_index=True, return_counts=True)
-                out.append(_batch(FOUND, kind=np.full(len(key), 3), gram=grams[k - 1][q][first].view(np.int64), word=w[q][first].astype(np.int64), n=many))
+                out.append(_batch(FOUND, kind=np.full(len(q), 2), chunk=np.array(chunks)[own[q]], gram=gram[asked].view(np.int64), word=w[q].astype(np.int64), n=at[q] * DEPTH + k))
+            mine, v = gram[train[i]], w[i[train[i]]]
+            if len(mine):
+                key, first, many = np.unique(_mix(mine) ^ v, return_index=True, return_counts=True)
+                out.append(_batch(FOUND, kind=np.full(len(key), 3), gram=mine[first].view(np.int64), word=v[first].astype(np.int64), n=many))
         return _table(FOUND, out)
 
     return run
@@ -844,6 +846,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     with_ladder = _with(thin, _listed(ladder, "ladder", "part", "block"))
     histories = staged(with_ladder.mapInArrow(_ask_histories(shards), TALLY).groupBy("part").applyInArrow(_tally, TALLY), "histories")
     told = (_listed(ladder, "ladder", "part", "block"), _listed(histories, "histories", "part", "block"))
+    release(spark)
     # contexts that are too frequent for a shard: at most a few for each RANGE_TOKENS tokens, by counts that miss at most half
     often = thin.mapInArrow(hot_rows, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= RANGE_TOKENS // 4).collect()
     hot = [np.array(sorted(o.gram for o in often if o.level == k), np.int64).view(np.uint64) for k in range(1, DEPTH)]
