@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from llm_data import frame, prose
 
 from talkmill.llm import decontamination as D
@@ -62,7 +63,7 @@ def test_finds_edited_copies(spark):
 def test_blocks_change_nothing(spark):
     docs, items, _, _ = corpus(spark)
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(D.contaminated(docs, items)) == key(D.contaminated(docs, items, block_items=3))
+    assert key(D.contaminated(docs, items)) == key(D.contaminated(docs, items, block_bytes=600))
 
 
 def test_a_stray_hit_before_the_copy_costs_nothing():
@@ -71,12 +72,58 @@ def test_a_stray_hit_before_the_copy_costs_nothing():
     assert D.passages([(10, 0), (200, 0), (206, 150)], 20, 1000) == [(0, 90), (186, 234)]
     item = [f"w{n}" for n in range(40)]
     copy = [f"x{n}" if n % 3 == 2 and n < 30 else w for n, w in enumerate(item)]
-    words = [w.encode() for w in ["far"] * 200 + copy[:28] + item[:3] + copy[28:] + ["away"] * 200]
+    words = ["far"] * 200 + copy[:28] + item[:3] + copy[28:] + ["away"] * 200
     block = D.Block([(7, " ".join(item).encode())])
-    far = {(b"w0", b"w1", b"w2"): [(0, 0)], (b"w37", b"w38", b"w39"): [(0, 37)]}
-    got = D.matches(words, block, far, (3,), D.THRESHOLD)
-    number = np.array([block.number.get(w, -1) for w in words], np.int64)
-    assert [r[1] for r in got] == [D.align(block.ids[0], number)[0] / 80]
+    number = block.numbers(D.split(pa.array([" ".join(words)]))[1])
+    got = D.best_passage(block, 0, number, [(228, 0), (240, 37)], D.THRESHOLD)
+    assert got[0] == D.align(block.ids[0], number)[0] / 80
+
+
+def smith_waterman(item, words):
+    """(best score, start of the latest alignment that has it at the first end) cell by cell."""
+    h = [[(0, k) for k in range(len(words) + 1)] for _ in range(len(item) + 1)]
+    best = (0, 0, 0)
+    for i in range(1, len(item) + 1):
+        h[i][0] = (0, 0)
+        for j in range(1, len(words) + 1):
+            s, a = h[i - 1][j - 1]
+            c = [(s + (2 if item[i - 1] == words[j - 1] else -1), a), (h[i - 1][j][0] - 1, h[i - 1][j][1]), (h[i][j - 1][0] - 1, h[i][j - 1][1]), (0, j)]
+            h[i][j] = max(x for x in c if x[0] > 0) if max(x[0] for x in c) > 0 else (0, j)
+            if h[i][j][0] > best[0]:
+                best = (h[i][j][0], h[i][j][1], j)
+    return best
+
+
+def test_against_all_pairs_alignment(spark):
+    """Every item against every document: nothing is found that alignment doesn't, and at least 0.9 of what alignment has. Every 3rd to 8th word is edited."""
+    rng = random.Random(21)
+    items = [(k, prose(rng, rng.randint(12, 40))) for k in range(16)] + [(16, "velvet orchard"), (17, "quartz")]
+    rows = []
+    for k in range(90):
+        words = items[k % 16][1].split()
+        step, how = 3 + k % 6, k % 3
+        copy = []
+        for n, w in enumerate(words):
+            if n % step == step - 1:
+                copy += [] if how == 1 else [f"new{n}"] if how == 0 else [w, f"more{n}"]
+            else:
+                copy.append(w)
+        rows.append((k, f"{prose(rng, rng.randint(0, 60))} {' '.join(copy)} {prose(rng, rng.randint(0, 60))}", "s"))
+    rows += [(100, "a Velvet, orchard!", "s"), (101, "quartz", "s"), (102, "orchard velvet", "s")]
+    want = {}
+    for i, t, _ in rows:
+        words = D.words_of(t.encode())
+        for k, x in items:
+            item = D.words_of(x.encode())
+            s, a, z = smith_waterman(item, words)
+            if s / (2 * len(item)) >= D.THRESHOLD:
+                want[i, k] = (s / (2 * len(item)), a, z - a)
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.n_words) for r in D.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() <= want.keys() and len(got) >= 0.9 * len(want) and len(want) > 80
+    same = sum(want[k][0] == v[0] for k, v in got.items())
+    assert same >= 0.95 * len(got)
+    assert sum(want[k] == v for k, v in got.items()) >= 0.9 * same
+    print(len(want), len(got), same)
 
 
 def test_alignment_is_smith_waterman():
