@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import components, fresh, need, rebatched, staged, text_batches
@@ -56,14 +56,15 @@ def fingerprint(text: bytes) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.array([fingerprint(t or b"") for t in pc.cast(b.column(1), pa.binary()).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f), *b.columns[2:]], names=["doc_id", "fp", "th"][: b.num_columns])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, text_hash: Column | None = None) -> DataFrame:
+    """(doc_id, fp), with text_hash also th: the fingerprint's bits as a signed long; null and wordless texts have 0."""
     need(docs, "doc_id", "text")
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, fp long")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")] + ([] if text_hash is None else [text_hash.alias("th")])
+    return docs.select(*columns).mapInArrow(_prints, "doc_id long, fp long" + ("" if text_hash is None else ", th long"))
 
 
 def _half(fp: np.ndarray, tree: int) -> np.ndarray:
@@ -237,9 +238,9 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(prints: DataFrame) -> DataFrame:
-    """Of (doc_id, fp): a row per distinct fingerprint with fp, n_near (documents linked to one of its documents), component_id.
+    """Of (doc_id, fp): a row per distinct fingerprint with fp, n_near (documents linked to one of its documents), component_id, root.
 
-    component_id is the least id reachable, null where no reachable document has an id.
+    component_id is the least id reachable, null where no reachable document has an id; root is a fingerprint that names the component.
     """
     text_batches(prints.sparkSession)
     kinds = staged(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "kinds")
@@ -259,9 +260,9 @@ def link(prints: DataFrame) -> DataFrame:
     roots = components(found.where("n = 0").select(F.col("fp").alias("a"), F.col("other").alias("b")))
     roots = staged(roots, "roots")
     heads = kinds.join(roots, kinds.fp == roots.node).groupBy("root").agg(F.min("least").alias("head")).withColumnRenamed("root", "__r")
-    of = roots.join(heads, roots.root == heads["__r"]).select(F.col("node").alias("__b"), "head")
+    of = roots.join(heads, roots.root == heads["__r"]).select(F.col("node").alias("__b"), "head", F.col("root").alias("__root"))
     all_ = kinds.join(counts, F.col("fp") == F.col("__a"), "left").join(of, F.col("fp") == F.col("__b"), "left")
-    return all_.select("fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_near"), F.when(F.col("__b").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"))
+    return all_.select("fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_near"), F.when(F.col("__b").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id"), F.coalesce("__root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -272,19 +273,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's least, so one document of each group; rows without an id are kept.
+    """One row of docs of each group of near-duplicates: that of least (id, text hash), null ids last; all columns as they are.
 
-    Of rows that repeat a kept id, one of those with that fingerprint stays.
+    Rows are told apart by id and text, so different texts of one id are judged each by their own group. Of rows that repeat id and
+    text one stays, that of least hash over all columns.
     """
     need(docs, "doc_id", "text")
-    prints = staged(fingerprints(docs), "prints")
-    kinds = link(prints).withColumnRenamed("fp", "__fp")
-    judged = prints.where("doc_id is not null").join(kinds, F.col("fp") == F.col("__fp"))
-    key = fresh(docs, "__doc_id")
-    out = staged(judged.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
-    kept = docs.join(out, F.col("doc_id").cast("long") == F.col(key), "left_anti")
-    again = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    at, th = F.col("doc_id").cast("long"), F.xxhash64("text")
+    prints = staged(fingerprints(docs.select("doc_id", "text"), th), "prints")
+    kinds = link(prints).select(F.col("fp").alias("__fp"), "root")
+    # least in each group, then every other (id, text) of the group
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    rows = prints.groupBy("doc_id", "fp", "th").agg(F.count(F.lit(1)).alias("n")).join(kinds, F.col("fp") == F.col("__fp")).withColumn("place", place)
+    rows = staged(rows.select("doc_id", "th", "n", "root", "place"), "judged")
+    first = rows.groupBy(F.col("root").alias("__r")).agg(F.min("place").alias("first"))
+    key, hash_ = fresh(docs, "__doc_id"), fresh(docs, "__th")
+    same = at.eqNullSafe(F.col(key)) & (th == F.col(hash_))
+    copies = rows.join(first, F.col("root") == F.col("__r")).where("place <> first").select(F.col("doc_id").alias(key), F.col("th").alias(hash_))
+    kept = docs.join(staged(copies, "copies"), same, "left_anti")
+    again = staged(rows.where("n > 1").select(F.col("doc_id").alias(key), F.col("th").alias(hash_)), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    one = kept.join(again, same, "left_semi").groupBy(at.alias(key), th.alias(hash_)).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias(fresh(docs, "__row")))
+    return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one.select(f"{fresh(docs, '__row')}.*"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from llm_data import frame
+from llm_data import frame, prose
 
 from talkmill.llm import near_duplicates as N
 from talkmill.llm.common import components
@@ -72,7 +72,23 @@ def test_one_of_each_group_stays(docs, rows):
     got = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
     _, comp = brute([brute_fp(t) for _, t, _ in rows], [i for i, _, _ in rows])
     assert got == sorted({c for c in comp if c is not None})
-    assert kept.where("doc_id is null").count() == 2
+    # the other row without an id is an empty text, of which one with an id stays
+    assert [r.text for r in kept.where("doc_id is null").collect()] == ["a text without an id"]
+
+
+def test_no_text_is_lost_with_repeated_ids(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(3, b, "s"), (5, a, "s"), (5, b, "s"), (7, c, "s"), (7, d, "t"), (7, d, "u"), (8, d, "s"), (None, e, "s"), (None, e, "s"), (None, c, "s"), (9, None, "s"), (9, "", "s")]
+    for order in (rows, rows[::-1]):
+        kept = [(r.doc_id, r.text) for r in N.keep_one(frame(spark, order)).collect()]
+        assert sorted(kept, key=str) == sorted([(3, b), (5, a), (7, c), (7, d), (None, e), (9, kept_text(kept, 9))], key=str)
+    one = {r.source for r in N.keep_one(frame(spark, rows)).where("doc_id = 7").collect()}
+    assert one == {r.source for r in N.keep_one(frame(spark, rows[::-1])).where("doc_id = 7").collect()}
+
+
+def kept_text(kept, i):
+    return next(t for k, t in kept if k == i)
 
 
 def test_nothing(empty, spark):
