@@ -186,7 +186,8 @@ def learned_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     need(labels, "doc_id", "quality")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     given = given.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
-    sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    there = docs.select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    sample = given.join(there, F.col("doc_id") == F.col("__id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
     if sample.empty or sample.quality.nunique() < 2:
         return []
     ids = docs.sparkSession.createDataFrame(sample[["doc_id"]].astype("int64")).withColumnRenamed("doc_id", "__id")

@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     text_batches(docs.sparkSession)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id"), fold) != held_out)
     given = given.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
-    sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
+    there = docs.select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    sample = given.join(there, F.col("doc_id") == F.col("__id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
     if sample.empty or sample.toxic.nunique() < 2:
         share = float(sample.toxic.mean()) if len(sample) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
