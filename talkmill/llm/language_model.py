@@ -215,17 +215,29 @@ def _rank(parts: int):
     return run
 
 
+FULL = "chunk long, ids binary, nulls binary, held binary, ends binary, tokens binary, counts binary"
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their tokens as ranks, and the training counts of their words in the order of the ranks."""
+    for b in batches:
+        for k in range(b.num_rows):
+            row = b.slice(k, 1).to_pylist()[0]
+            blocks = [_unpack(x) for x in row["blocks"]]
+            places, ranks, counts = (np.concatenate([x[c] for x in blocks]) for c in range(3))
+            rank = np.empty(len(places), np.uint32)
+            rank[places] = ranks
+            order = np.argsort(ranks)
+            row["tokens"] = _pack(rank[_unpack(row["tokens"])[0]])
+            row["counts"] = _pack(_small(np.diff(ranks[order], prepend=0)), _small(counts[order]))
+            yield next(_sent(FULL, [tuple(row[c.split()[0]] for c in FULL.split(", "))]))
+
+
 class Chunk:
     """A chunk's documents end to end: s has the rank of each token and, before each document, 0 for its start."""
 
     def __init__(self, row: dict):
         self.chunk = row["chunk"]
-        blocks = [_unpack(b) for b in row["blocks"]]
-        places = np.concatenate([b[0] for b in blocks])
-        rank = np.zeros(len(places) + 1, np.uint32)
-        rank[places] = np.concatenate([b[1].astype(np.uint32) for b in blocks])
-        self.seen = np.zeros(len(places) + 1, np.int64)
-        self.seen[places] = np.concatenate([b[2].astype(np.int64) for b in blocks])
         self.ends = np.frombuffer(row["ends"], np.int64)
         self.held = np.frombuffer(row["held"], bool)
         #: Tokens of each document, with its end; the place of its start in s.
@@ -234,9 +246,8 @@ class Chunk:
         n = int(self.ends[-1]) + len(self.ends)
         real = np.ones(n, bool)
         real[self.first] = False
-        self.local = np.full(n, len(places), np.uint32)
-        self.local[real] = _unpack(row["tokens"])[0]
-        self.s = rank[self.local]
+        self.s = np.zeros(n, np.uint32)
+        self.s[real] = _unpack(row["tokens"])[0]
         #: Context length before each place: all tokens of the document before it, and its start.
         self.left = np.arange(n, dtype=np.int32) - np.repeat(self.first, self.sizes + 1).astype(np.int32)
         self._sums: tuple[np.ndarray, np.ndarray] | None = None
@@ -361,8 +372,8 @@ def _scout(parts: int, least: int):
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, _ in _rows(batches):
             at = np.nonzero(~x.of_held() & (x.left > 1))[0]
-            many = np.bincount(x.local[at - 1]) >= least
-            at = at[many[x.local[at - 1]]]
+            kinds, n = np.unique(x.s[at - 1], return_counts=True)
+            at = at[np.isin(x.s[at - 1], kinds[n >= least])]
             gram = np.zeros(len(at), np.uint64)
             for k in range(1, DEPTH):
                 c = x.before(at, k)
@@ -767,7 +778,8 @@ def _score(total: int, kinds: int, documents: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, row in _rows(batches):
-            c = x.seen[x.local]
+            ranks, seen = _unpack(row["counts"])
+            c = seen.astype(np.int64)[np.searchsorted(np.cumsum(ranks, dtype=np.int64), x.s[x.left > 0])]
             shared = _shared(x, row, parts)
             length, context, pair = (np.zeros(len(x.s), np.int64) for _ in range(3))
             steps: dict[int, tuple[list, list]] = {}
@@ -790,10 +802,10 @@ def _score(total: int, kinds: int, documents: int, parts: int):
             at = np.nonzero((x.left > 0) & (before > 0))[0]
             length[at], context[at], pair[at] = x.left[at], before[at], shared[at]
             real = x.left > 0
-            p = _unigram(c[real], total, kinds)
+            p = _unigram(c, total, kinds)
             value = log_p(pair[real], context[real], length[real], p)
             starts = x.ends - x.sizes
-            known, base, score = (np.add.reduceat(v, starts) for v in ((c[real] > 0).astype(np.int64), np.log10(p), value))
+            known, base, score = (np.add.reduceat(v, starts) for v in ((c > 0).astype(np.int64), np.log10(p), value))
             ids = [None if n else int(i) for i, n in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), strict=True)]
             yield _batch(OUT, doc_id=ids, held_out=x.held, n_tokens=x.sizes, n_known=known, base=base, score=score)
 
@@ -834,9 +846,9 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     s = ranks.where("chunk is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, kinds = s.n, s.v
     blocks = ranks.where("chunk is not null").groupBy(F.col("chunk").alias("k")).agg(F.collect_list("block").alias("blocks"))
-    full_path = write_staged(chunks.drop("words", "counts", "n", "train").join(blocks.hint("merge"), F.col("chunk") == F.col("k")).drop("k"), "ranked")
+    full_path = write_staged(chunks.drop("words", "counts", "n", "train").join(blocks.hint("merge"), F.col("chunk") == F.col("k")).drop("k").mapInArrow(_ranked, FULL), "ranked")
     full = read_staged(spark, full_path)
-    thin = full.drop("ids", "nulls")
+    thin = full.drop("ids", "nulls", "counts")
     remove(spark, chunks_path)
     remove(spark, ranks_path)
     release(spark)
@@ -848,7 +860,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     told = (_listed(ladder, "ladder", "part", "block"), _listed(histories, "histories", "part", "block"))
     release(spark)
     # contexts that are too frequent for a shard: at most a few for each RANGE_TOKENS tokens, by counts that miss at most half
-    often = thin.mapInArrow(hot_rows, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= RANGE_TOKENS // 4).collect()
+    often = thin.mapInArrow(hot_rows, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= RANGE_TOKENS // 2).collect()
     hot = [np.array(sorted(o.gram for o in often if o.level == k), np.int64).view(np.uint64) for k in range(1, DEPTH)]
     moved = _with(thin, *told).mapInArrow(_positions(hot, shards, shards), MOVED)
     found = [staged(moved.groupBy("shard").applyInArrow(_settle(hot), FOUND), "found")]
