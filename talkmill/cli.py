@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill import manifests, session
+from talkmill import manifests, resume, session
 from talkmill.functions import months
+from talkmill.monitor import Monitor
 from talkmill.operators import aggregate, analytics, parents, project
 from talkmill.plans.query import Query, parse_predicate, read_ids
 from talkmill.sinks import files as sinks
 from talkmill.sources import integrity
 from talkmill.sources.lines import read_jsonl, read_lines
 from talkmill.sources.listing import Archive
-from talkmill.sources.records import parse, scan
+from talkmill.sources.records import malformed_line, parse, scan
 
 KINDS = {"comments": ("comment",), "submissions": ("submission",), "both": ("comment", "submission")}
 
@@ -40,8 +43,37 @@ def query_of(a: argparse.Namespace) -> Query:
     ).build()
 
 
+def warn_of_all(q: Query) -> None:
+    if q.unfiltered() and not q.start_month and not q.end_month:
+        print("warning: no filter and no date range: the whole corpus is read", file=sys.stderr)
+
+
 def records_of(spark: SparkSession, a: argparse.Namespace, blank: str = "skip") -> DataFrame:
-    return scan(spark, Archive.at(a.corpus), query_of(a), KINDS[a.source], getattr(a, "allow_partial", False), blank)
+    q = query_of(a)
+    warn_of_all(q)
+    if getattr(a, "checkpoint", None):
+        if a.allow_partial:
+            raise ValueError("--checkpoint keeps whole months, --allow-partial doesn't")
+        records, fresh = resume.checkpointed_scan(spark, Archive.at(a.corpus), q, a.checkpoint, KINDS[a.source], blank)
+        print(f"{fresh} months scanned", file=sys.stderr)
+        return records
+    return scan(spark, Archive.at(a.corpus), q, KINDS[a.source], getattr(a, "allow_partial", False), blank)
+
+
+def expected_or_fail(a: argparse.Namespace) -> None:
+    """Before a run: what --expected names has to be there."""
+    if getattr(a, "expected", None):
+        bad = manifests.preflight(Archive.at(a.corpus), a.expected, False, KINDS[a.source], a.start, a.end)
+        if bad:
+            raise ValueError("the corpus isn't as expected: " + "; ".join(bad))
+
+
+def note(a: argparse.Namespace, options: dict, counts: dict[str, int] | None = None, upstream: list[str] = ()) -> None:
+    """The manifest beside an output file."""
+    if a.out != "-":
+        q = query_of(a) if hasattr(a, "subreddit") else None
+        jobs = Archive.at(a.corpus).plan(tuple(k for k in KINDS[a.source] if k in q.kinds()), *q.month_range()) if q else []
+        manifests.run_manifest(a.out, q, {"command": a.command} | options, jobs, counts or {}, upstream=upstream)
 
 
 def out(df: DataFrame, columns: list[str], path: str, order: list[str]) -> None:
@@ -65,6 +97,9 @@ def emit(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
 
 
 def describe(a: argparse.Namespace) -> int:
+    if a.expected:
+        for r in manifests.corpus_plan(Archive.at(a.corpus), json.loads(Path(a.expected).read_text())):
+            print("\t".join(str(r[k]) for k in ("source", "month", "state")))
     for row in Archive.at(a.corpus).describe():
         print("\t".join(str(v) for v in row.values()))
     for kind, lacks in Archive.at(a.corpus).missing().items():
@@ -121,6 +156,7 @@ def make_sample(root: str) -> None:
 
 def run_scan(a: argparse.Namespace) -> int:
     out(analytics.usernames(records_of(spark_session(a), a, "fail")), ["author"], a.out, ["author"])
+    note(a, {})
     return 0
 
 
@@ -128,6 +164,7 @@ def dedupe(a: argparse.Namespace) -> int:
     records = records_of(spark_session(a), a, "fail")
     s = analytics.key_stats(records, a.key, a.strict_key)
     out(analytics.distinct_keys(records, a.key), ["key"], a.out, ["key"])
+    note(a, {"key": a.key}, {"matched": s.matched, "unique": s.unique, "missing": s.missing})
     print(f"{s.matched} records, {s.unique} keys, {s.missing} without" + (": many lack the key" if s.warns else ""), file=sys.stderr)
     return 0
 
@@ -138,25 +175,52 @@ def count(a: argparse.Namespace) -> int:
         out(analytics.count_by_month(records), ["month", "n"], a.out, ["month"])
     else:
         out(analytics.author_counts(records), ["author", "n"], a.out, ["author"])
+    note(a, {"mode": a.mode})
     return 0
 
 
 def first_seen(a: argparse.Namespace) -> int:
     out(analytics.first_seen(records_of(spark_session(a), a, "fail")), ["author", "first_seen"], a.out, ["author"])
+    note(a, {})
     return 0
 
 
+def checked_export(a: argparse.Namespace) -> None:
+    """Options that the format doesn't know are errors."""
+    table = a.format in ("csv", "tsv")
+    wrong = [
+        ("tables need --field and take no --human-timestamps", table and (a.human_timestamps or not a.field)),
+        ("--field and --no-header go with tables", not table and (a.field or a.no_header)),
+        ("--zstd-level goes with --format zst", a.zstd_level is not None and a.format != "zst"),
+        ("a zstd level is 1 to 22", a.zstd_level is not None and not 1 <= a.zstd_level <= 22),
+        ("--codec and --row-group-rows go with --format parquet", a.format != "parquet" and (a.codec or a.row_group_rows is not None)),
+        ("--row-group-rows is at least 1", a.row_group_rows is not None and a.row_group_rows < 1),
+        ("parquet has fixed columns", a.format.endswith("parquet") and (a.human_timestamps or a.whitelist)),
+        ("--resume goes with jsonl, json, spool, zst and partitioned-jsonl", a.resume and a.format not in ("jsonl", "json", "json-pretty", "spool", "zst", "partitioned-jsonl")),
+        ("--resume takes no --limit", a.resume and a.limit is not None),
+        ("--limit isn't negative", a.limit is not None and a.limit < 0),
+        ("--strict-whitelist needs --whitelist", a.strict_whitelist and not a.whitelist),
+    ]
+    for what, is_so in wrong:
+        if is_so:
+            raise ValueError(what)
+
+
 def export(a: argparse.Namespace) -> int:
-    if a.format in ("csv", "tsv") and (a.human_timestamps or not a.field):
-        raise ValueError("tables need --field and take no --human-timestamps")
-    if a.zstd_level is not None and a.format != "zst":
-        raise ValueError("--zstd-level goes with --format zst")
-    if a.format == "parquet" and (a.human_timestamps or a.whitelist):
-        raise ValueError("parquet has fixed columns")
+    checked_export(a)
     spark, archive, q = spark_session(a), Archive.at(a.corpus), query_of(a)
-    if a.format == "spool" and a.resume:
-        paths, n = manifests.resumed_spool(spark, archive, q, a.out, partial=a.allow_partial)
-        print(f"{len(paths)} parts, {n} records", file=sys.stderr)
+    warn_of_all(q)
+    if a.resume:
+        options = {"whitelist": a.whitelist, "human_timestamps": a.human_timestamps}
+        rewrite = (lambda r: r.withColumn("value", project.rewritten(F.col("value"), a.whitelist, a.human_timestamps))) if a.whitelist or a.human_timestamps else None
+        kinds = KINDS[a.source]
+        if a.format == "spool":
+            _, n = manifests.resumed_spool(spark, archive, q, a.out, options, a.allow_partial, rewrite, kinds)
+        elif a.format in ("zst", "partitioned-jsonl"):
+            _, n = resume.resumed_partitioned(spark, archive, q, a.out, a.format.removeprefix("partitioned-"), a.zstd_level or 7, options, rewrite, kinds)
+        else:
+            n = resume.resumed_file(spark, archive, q, a.out, a.format, options, a.allow_partial, rewrite, kinds)
+        print(f"{n} records", file=sys.stderr)
         return 0
     jobs = archive.plan(tuple(k for k in KINDS[a.source] if k in q.kinds()), *q.month_range())
     warnings = []
@@ -180,7 +244,7 @@ def export(a: argparse.Namespace) -> int:
     elif a.format in ("csv", "tsv"):
         sinks.write_table(records, a.out, a.field, a.format == "tsv", not a.no_header)
     elif a.format == "parquet":
-        sinks.write_parquet(records, a.out)
+        sinks.write_parquet(records, a.out, a.codec or "zstd", row_group_rows=a.row_group_rows)
     elif a.format == "spool":
         sinks.export_spool(records, a.out, [(j.kind, j.month) for j in jobs])
     else:
@@ -201,10 +265,34 @@ def convert(a: argparse.Namespace) -> int:
     return 0
 
 
+def sound_inputs(lines: DataFrame, strict: bool, merge_partial: bool) -> DataFrame:
+    """The lines that count: inputs with a malformed line are left out unless merge_partial, and then give the lines that are JSON; the report goes to standard error."""
+    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    files = lines.groupBy("file_path").agg(F.count_if(F.trim("value") != "").alias("n"), F.count_if(bad).alias("bad")).orderBy("file_path").collect()  # a row an input
+    partial = [f.file_path for f in files if f.bad and f.bad < f.n]
+    fatal = [f.file_path for f in files if f.bad and f.bad == f.n]
+    print(f"{len(files) - len(partial) - len(fatal)} whole inputs, {len(partial)} partial, {len(fatal)} fatal", file=sys.stderr)
+    if strict and (partial or fatal):
+        raise ValueError("malformed JSON in " + ", ".join(partial + fatal))
+    if not any(f.n > f.bad for f in files):
+        print("warning: no input has a record", file=sys.stderr)
+    drop = fatal if merge_partial else partial + fatal
+    return lines.where(~F.col("file_path").isin(drop) & ~bad) if drop or partial else lines
+
+
 def run_aggregate(a: argparse.Namespace) -> int:
-    records = parse(read_jsonl(spark_session(a), a.input), repeated="keep")
-    df = aggregate.aggregate(records, a.group_by or "", a.agg) if a.agg else aggregate.rollup(records, a.by, a.metric, a.top)
+    spark = spark_session(a)
+    lines = sound_inputs(read_jsonl(spark, a.input), a.strict, a.merge_partial)
+    records = parse(lines, repeated="keep")
+    if a.agg:
+        df = aggregate.aggregate(records, a.group_by or "", a.agg)
+    else:
+        df = aggregate.rollup(records, a.by, a.metric, a.top)
+        if a.by is not None:
+            df = aggregate.shown(df, a.metric, a.scientific)
     emit(df, a.out, a.format)
+    if a.out != "-":
+        manifests.run_manifest(a.out, None, {"command": "aggregate", "by": a.by, "metric": a.metric, "agg": a.agg, "group_by": a.group_by, "inputs": [manifests.file_identity(p) for p in a.input]}, [], {}, upstream=a.input)
     return 0
 
 
@@ -218,11 +306,19 @@ def run_parents(a: argparse.Namespace) -> int:
         return 0
     parts = sinks.spool_parts(a.spool)
     start, end = months.window([m for _, m, _ in parts], a.window_months)
+    jobs = archive.plan(start=start, end=end)
+    options = {"command": "parents", "fields": fields, "full": a.full, "window": a.window_months, "spool": [manifests.file_identity(p) for _, _, p in parts]}
+    mark = manifests.fingerprint(None, options, jobs)
+    if a.resume and resume.output_is_current(a.out, mark):
+        print("nothing to do", file=sys.stderr)
+        return 0
     children = parse(read_jsonl(spark, [p for _, _, p in parts]).withColumns({"kind": F.lit("comment"), "file_month": F.lit(None).cast("string")}))
-    found = parents.resolve(parse(read_lines(spark, archive.plan(start=start, end=end))), parents.collect_parent_ids(children), fields, a.full)
+    find = lambda: parents.resolve(parse(read_lines(spark, jobs)), parents.collect_parent_ids(children), fields, a.full)
+    found = resume.kept_parents(children, a.cache, mark, find)[0] if a.cache else find()
     got = parents.attach(children, found)
     sinks.write_jsonl(parents.attached_json(got).select("value", "file_path"), a.out, ("file_path",))
     stats = parents.attach_stats(got)
+    manifests.run_manifest(a.out, None, options, jobs, stats | {"bytes": Path(a.out).stat().st_size}, parents.warnings(stats), upstream=[p for _, _, p in parts])
     print(stats, *parents.warnings(stats), file=sys.stderr)
     return 0
 
@@ -263,12 +359,17 @@ def parser() -> argparse.ArgumentParser:
             for o in ("exclude-common-bots", "include-pseudo-users", "contains-url", "no-url", "allow-partial"):
                 s.add_argument(f"--{o}", action="store_true")
             s.add_argument("--json", action="append", type=parse_predicate)
+        if corpus:
+            s.add_argument("--expected")
+        for o in ("events", "status-file", "stop-file"):
+            s.add_argument(f"--{o}")
+        s.add_argument("--max-rss-mb", type=int)
+        s.add_argument("--max-runtime", type=float)
         return s
 
     add("describe", describe, "ls")
     s = add("corpus", corpus)
     s.add_argument("what", choices=["plan", "manifest"])
-    s.add_argument("--expected")
     s.add_argument("--sha256", action="store_true")
     s.add_argument("--only-missing", action="store_true")
     s = add("schema", schema)
@@ -278,15 +379,19 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--limit", type=int, default=10)
     add("quickstart", quickstart, "demo")
     s = add("scan", run_scan, query=True)
+    s.add_argument("--checkpoint")
     s.add_argument("--out", default="-")
     s = add("dedupe", dedupe, "unique", "distinct", query=True)
+    s.add_argument("--checkpoint")
     s.add_argument("--key", default="author")
     s.add_argument("--strict-key", action="store_true")
     s.add_argument("--out", default="-")
     s = add("count", count, query=True)
+    s.add_argument("--checkpoint")
     s.add_argument("--mode", choices=["month", "author"], default="month")
     s.add_argument("--out", default="-")
     s = add("first-seen", first_seen, query=True)
+    s.add_argument("--checkpoint")
     s.add_argument("--out", default="-")
     s = add("export", export, query=True)
     s.add_argument("--format", choices=["jsonl", "json", "json-pretty", "csv", "tsv", "parquet", "spool", "zst", "partitioned-jsonl", "partitioned-parquet"], default="jsonl")
@@ -298,6 +403,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--no-header", action="store_true")
     s.add_argument("--limit", "--head", type=int)
     s.add_argument("--zstd-level", type=int)
+    s.add_argument("--codec")
+    s.add_argument("--row-group-rows", type=int)
     s.add_argument("--resume", action="store_true")
     s = add("convert", convert, corpus=False)
     s.add_argument("input", nargs="+")
@@ -312,6 +419,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--top", type=int)
     s.add_argument("--group-by")
     s.add_argument("--agg")
+    for o in ("scientific", "strict", "merge-partial"):
+        s.add_argument(f"--{o}", action="store_true")
     s.add_argument("--format", choices=["tsv", "jsonl", "json"], default="jsonl")
     s.add_argument("--out", default="-")
     s = add("parents", run_parents)
@@ -321,6 +430,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--field", action="append")
     s.add_argument("--full", action="store_true")
     s.add_argument("--window-months", type=int, default=3)
+    s.add_argument("--resume", action="store_true")
+    s.add_argument("--cache")
     s.add_argument("--out", default="-")
     s = add("integrity", run_integrity)
     s.add_argument("--mode", choices=["quick", "full"], default="quick")
@@ -333,14 +444,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def monitored(a: argparse.Namespace) -> int:
+    """Runs the command, under a monitor if a monitoring option is given."""
+    if not any((a.events, a.status_file, a.stop_file, a.max_rss_mb, a.max_runtime)):
+        return a.run(a)
+    with Monitor(spark_session(a), a.events, a.status_file, a.max_rss_mb, a.max_runtime, a.stop_file) as m:
+        code = a.run(a)
+    return m.exit_code if m.reason else code
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return args.run(args)
+        if getattr(args, "out", "-") != "-":
+            sinks.sweep(str(Path(args.out).parent))
+        if args.command not in ("corpus", "describe", "ls"):
+            expected_or_fail(args)
+        return monitored(args)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-
+    except PySparkException as e:
+        at = re.search(r"malformed JSON in (\S+)", str(e))
+        path = at and re.sub(r"^file:/+", "/", at[1])
+        if not path or not Path(path).exists():
+            raise
+        print(f"error: malformed JSON in {path}, line {malformed_line(path)}", file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

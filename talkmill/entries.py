@@ -76,8 +76,8 @@ _filtered(V.pages, ["id", "url"], "pages", "page_id::VARCHAR AS id, url", "NOT s
 
 @query(f"SELECT id, title FROM {_ORDERS} WHERE id IN (SELECT p_partkey::VARCHAR FROM part)")
 def orders_ids_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    ids = tuple(f"t3_{r.p_partkey}" for r in V.table(spark, d, "part").select("p_partkey").toLocalIterator())
-    return Query(ids=ids).build().apply(V.orders(spark, d)).select("id", "title")
+    ids = V.table(spark, d, "part").select(F.lit("submission").alias("kind"), F.col("p_partkey").cast("string").alias("id"))
+    return Query().build().apply(V.orders(spark, d), ids).select("id", "title")
 
 
 @query("SELECT regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS domain, count(*) AS n FROM pages WHERE lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) IN (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) FROM pages WHERE page_id = 1) GROUP BY 1")

@@ -44,6 +44,15 @@ def write_doc(doc: dict[str, Any], path: str) -> None:
         tmp.write_text(json.dumps(doc, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
 
 
+def preflight(archive: Archive, expected: str, digests: bool = False, kinds: tuple[str, ...] = ("comment", "submission"), start: str | None = None, end: str | None = None) -> list[str]:
+    """What an expected manifest names in the range and the archive lacks or has otherwise, a line each."""
+    bad = []
+    for r in corpus_plan(archive, json.loads(Path(expected).read_text()), digests):
+        if r["source"] in kinds and r["state"] in ("missing", "size", "sha256") and not (start and r["month"] < start or end and r["month"] > end):
+            bad.append(f"{r['source']} {r['month']}: {r['state']}")
+    return bad
+
+
 def run_manifest(output: str, query: Any, options: dict[str, Any], jobs: list[FileJob], counts: dict[str, int], warnings: list[str] = (), upstream: list[str] = ()) -> dict[str, Any]:
     """Writes <output>.manifest.json: what ran over which files, what came out, and the manifests of its inputs."""
     links = []
@@ -86,12 +95,17 @@ class Progress:
         m, p = self.months.get(self.key(job)), Path(part)
         return bool(m) and p.exists() and p.stat().st_size == m["size"] and (m.get("sha256") is None or sha256_of(part) == m["sha256"])
 
+    def note(self, job: FileJob, lines: int, size: int = 0) -> None:
+        """Records a finished month."""
+        self.months[self.key(job)] = {"size": size, "lines": lines, "sha256": None}
+        write_doc({"version": 1, "fingerprint": self.fingerprint, "months": self.months}, self.path)
+
     def finish(self, job: FileJob, part: str, lines: int, digest: bool = False) -> None:
         self.months[self.key(job)] = {"size": Path(part).stat().st_size, "lines": lines, "sha256": sha256_of(part) if digest else None}
         write_doc({"version": 1, "fingerprint": self.fingerprint, "months": self.months}, self.path)
 
 
-def resumed_spool(spark, archive: Archive, query: Any, folder: str, options: dict[str, Any] | None = None, partial: bool = False) -> tuple[list[str], int]:
+def resumed_spool(spark, archive: Archive, query: Any, folder: str, options: dict[str, Any] | None = None, partial: bool = False, rewrite=None, kinds: tuple[str, ...] = ("comment", "submission")) -> tuple[list[str], int]:
     """A spool whose finished months are kept: only months without a valid part are scanned. Returns paths in order and all lines."""
     from talkmill.sinks.files import export_spool
     from talkmill.sources.integrity import sound
@@ -99,7 +113,7 @@ def resumed_spool(spark, archive: Archive, query: Any, folder: str, options: dic
     from talkmill.sources.records import parse
 
     q = query.build()
-    jobs = archive.plan(q.kinds(), *q.month_range())
+    jobs = archive.plan(tuple(k for k in kinds if k in q.kinds()), *q.month_range())
     if partial:
         jobs, _ = sound(spark, jobs)
     p = Progress.load(f"{folder}/_progress.json", fingerprint(q, options or {}, jobs))
@@ -107,7 +121,8 @@ def resumed_spool(spark, archive: Archive, query: Any, folder: str, options: dic
     todo = [j for j in jobs if not p.done(j, part(j))]
     if todo:
         Path(folder).mkdir(parents=True, exist_ok=True)
-        export_spool(q.apply(parse(read_lines(spark, todo))), folder, [(j.kind, j.month) for j in todo])
+        records = q.apply(parse(read_lines(spark, todo)))
+        export_spool(rewrite(records) if rewrite else records, folder, [(j.kind, j.month) for j in todo])
         for j in todo:
             with open(part(j), "rb") as f:
                 n = sum(1 for _ in f)

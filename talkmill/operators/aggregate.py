@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 from typing import Any, Protocol
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +219,22 @@ def number_text(x: float, scientific: bool = False) -> str:
     return repr(x) if scientific else f"{Decimal(repr(x)):f}"
 
 
+def shown(df: DataFrame, metric: str, scientific: bool = False) -> DataFrame:
+    """A rollup's rows (key, value as text): exact whole numbers and averages as such, doubles in their shortest form."""
+    average = metric.startswith("avg")
+
+    @F.pandas_udf("string")
+    def of(value: pd.Series, exact: pd.Series, n: pd.Series) -> pd.Series:
+        def one(v, x, k):
+            if x is not None:
+                return average_text(int(x), k) if average else str(int(x))
+            return None if pd.isna(v) else number_text(v, scientific)
+
+        return pd.Series([one(*r) for r in zip(value, exact, n, strict=True)], dtype=object)
+
+    return df.select("key", of("value", F.col("exact").cast("decimal(38,0)"), "n").alias("value"))
+
+
 class Aggregator(Protocol):
     """A mergeable state over records (dicts): ingest, merge, and text to and from for the exchange."""
 
@@ -240,6 +258,10 @@ def run_aggregator(lines: DataFrame, make: Callable[[], Any], read: Callable[[st
                         n += 1
         yield pa.RecordBatch.from_arrays([pa.array([a.to_json()]), pa.array([n], pa.int64())], names=["state", "n"])
 
+    return _merged(lines.select("value").mapInArrow(partial, "state string, n long"), make, read, fan_in)
+
+
+def _merged(states: DataFrame, make: Callable[[], Any], read: Callable[[str], Any], fan_in: int) -> Any:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n = None, 0
         for b in batches:
@@ -254,7 +276,6 @@ def run_aggregator(lines: DataFrame, make: Callable[[], Any], read: Callable[[st
             yield pa.RecordBatch.from_arrays([pa.array([a.to_json()]), pa.array([n], pa.int64())], names=["state", "n"])
 
     schema = "state string, n long"
-    states = lines.select("value").mapInArrow(partial, schema)
     parts = states.rdd.getNumPartitions()
     while parts > fan_in:
         parts = -(-parts // fan_in)
@@ -265,6 +286,64 @@ def run_aggregator(lines: DataFrame, make: Callable[[], Any], read: Callable[[st
     return out
 
 
+@dataclass
+class BuildReport:
+    """What became of the inputs: whole ones, those read up to a fault, those that gave nothing; shards merged and records taken in."""
+
+    ok: list[str]
+    partial: list[tuple[str, str]]
+    fatal: list[tuple[str, str]]
+    merged: int = 0
+    records: int = 0
+
+    @property
+    def warnings(self) -> list[str]:
+        return [] if self.records else ["no input has a record"]
+
+
+def build_aggregate(spark, paths: list[str], make: Callable[[], Any], read: Callable[[str], Any], strict: bool = False, merge_partial: bool = False, fan_in: int = 16) -> tuple[Any, BuildReport]:
+    """(the aggregator over all inputs, the report). An input is a shard, built by one task; the shards that count are merged in rounds.
+
+    An input that can't be opened is fatal, one with a malformed line is partial: its state up to there counts only with merge_partial. strict
+    raises if any input isn't whole. Blank lines and JSON that isn't an object are left out.
+    """
+    import json
+
+    from talkmill.session import prepare
+    from talkmill.sources.lines import plain_lines, window_log, zstd_lines
+
+    prepare(spark)
+    schema = "path string, status string, error string, state string, n long"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                a, n, status, error = make(), 0, "ok", None
+                try:
+                    for k, line in enumerate(zstd_lines(p) if window_log(p) else plain_lines(p), 1):
+                        try:
+                            r = json.loads(line) if line.strip() else None
+                        except ValueError as e:
+                            raise OSError(f"line {k}: {e}") from e
+                        if isinstance(r, dict):
+                            a.ingest(r)
+                            n += 1
+                except OSError as e:
+                    status, error = ("partial" if n else "fatal"), str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((p, pa.string()), (status, pa.string()), (error, pa.string()), (a.to_json(), pa.string()), (n, pa.int64()))], names=["path", "status", "error", "state", "n"])
+
+    # the shards are needed twice: for the report and for the merge
+    shards = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path").mapInArrow(build, schema).persist(StorageLevel.DISK_ONLY)
+    rows = shards.select("path", "status", "error", "n").collect()
+    report = BuildReport(sorted(r.path for r in rows if r.status == "ok"), sorted((r.path, r.error) for r in rows if r.status == "partial"), sorted((r.path, r.error) for r in rows if r.status == "fatal"))
+    if strict and (report.partial or report.fatal):
+        raise AggregateError("; ".join(f"{p}: {e}" for p, e in report.partial + report.fatal))
+    counted = {"ok", "partial"} if merge_partial else {"ok"}
+    report.merged = sum(r.status in counted for r in rows)
+    report.records = sum(r.n for r in rows if r.status in counted)
+    return _merged(shards.where(F.col("status").isin(*counted)).select("state", "n"), make, read, fan_in), report
+
+
 def merge_all(states: Iterable[Any]) -> Any:
     it = iter(states)
     out = next(it)

@@ -254,8 +254,8 @@ class Query:
             out = out & p
         return out
 
-    def apply(self, records: DataFrame) -> DataFrame:
-        """The matching records, with the same columns."""
+    def apply(self, records: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        """The matching records, with the same columns. ids: more ids to ask for, (kind or null for any, bare id) of any number."""
         spark, out = records.sparkSession, records.where(self.column())
         for given, how in ((self.authors, "left_semi"), (self.exclude_authors, "left_anti")):
             if given and len(given) > LIST_LIMIT:
@@ -264,8 +264,11 @@ class Query:
         if self.ids and len(self.ids) > LIST_LIMIT:
             kind = {"t1": "comment", "t3": "submission"}
             rows = [(k, x) for t, x in map(clean_id, self.ids) for k in ([kind[t]] if t else kind.values())]
-            ids = spark.createDataFrame(rows, "__kind string, __id string").distinct()
-            out = out.join(ids, (F.col("kind") == F.col("__kind")) & (text.bare_id(F.col("id")) == F.col("__id")), "left_semi")
+            listed = spark.createDataFrame(rows, "__kind string, __id string").distinct()
+            out = out.join(listed, (F.col("kind") == F.col("__kind")) & (text.bare_id(F.col("id")) == F.col("__id")), "left_semi")
+        if ids is not None:
+            wanted = ids.select(F.explode(F.when(F.col("kind").isNull(), F.array(F.lit("comment"), F.lit("submission"))).otherwise(F.array("kind"))).alias("__kind"), text.bare_id(F.col("id")).alias("__id"))
+            out = out.join(wanted, (F.col("kind") == F.col("__kind")) & (text.bare_id(F.col("id")) == F.col("__id")), "left_semi")
         return out
 
 

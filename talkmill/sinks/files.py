@@ -59,36 +59,45 @@ def _parts(df: DataFrame, path: str, columns: list[str]) -> tuple[str, list[Path
 def write_jsonl(df: DataFrame, path: str, order: tuple[str, ...] = ORDER) -> None:
     staging, parts = _parts(df, path, list(order))
     try:
-        with atomic(path) as tmp, tmp.open("wb") as f:
-            for p in parts:
-                with p.open("rb") as g:
-                    shutil.copyfileobj(g, f, 1 << 20)
+        join_lines(parts, path)
     finally:
         shutil.rmtree(staging, ignore_errors=True)
 
 
+def join_lines(parts: list[Path], path: str) -> None:
+    with atomic(path) as tmp, tmp.open("wb") as f:
+        for p in parts:
+            with p.open("rb") as g:
+                shutil.copyfileobj(g, f, 1 << 20)
+
+
 def write_json(df: DataFrame, path: str, pretty: bool = False, order: tuple[str, ...] = ORDER) -> None:
     """One JSON array; compact keeps the records' own text."""
-    import json
-
     staging, parts = _parts(df, path, list(order))
     try:
-        with atomic(path) as tmp, tmp.open("w", encoding="utf-8", newline="") as f:
-            first = True
-            f.write("[")
-            for p in parts:
-                with p.open(encoding="utf-8", newline="\n") as g:
-                    for line in g:
-                        line = line.removesuffix("\n")
-                        if pretty:
-                            line = "\n  " + json.dumps(json.loads(line), indent=2, ensure_ascii=False).replace("\n", "\n  ")
-                        f.write(("" if first else ",") + line)
-                        first = False
-            f.write("\n]\n" if pretty and not first else "]\n")
+        join_array(parts, path, pretty)
     finally:
         shutil.rmtree(staging, ignore_errors=True)
 
 
+def join_array(parts: list[Path], path: str, pretty: bool = False) -> None:
+    """JSON lines as one array."""
+    import json
+
+    with atomic(path) as tmp, tmp.open("w", encoding="utf-8", newline="") as f:
+        first = True
+        f.write("[")
+        for p in parts:
+            with p.open(encoding="utf-8", newline="\n") as g:
+                for line in g:
+                    line = line.removesuffix("\n")
+                    if pretty:
+                        line = "\n  " + json.dumps(json.loads(line), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+                    f.write(("" if first else ",") + line)
+                    first = False
+        f.write("\n]\n" if pretty and not first else "]\n")
+
+
 def csv_line(cells: list[Column]) -> Column:
     """RFC 4180: a cell is quoted only for a comma, a quote or a line break; the CR of the line's CRLF is part of the text."""
     one = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
@@ -135,7 +144,7 @@ def write_key_value_parquet(df: DataFrame, path: str) -> None:
     df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_parquet(records: DataFrame, path: str, codec: str = "zstd", row_group_bytes: int | None = None) -> None:
+def write_parquet(records: DataFrame, path: str, codec: str = "zstd", row_group_bytes: int | None = None, row_group_rows: int | None = None) -> None:
     """The typed fields and payload. codec: name or name:level."""
     from talkmill.operators.project import typed_rows
 
@@ -147,6 +156,8 @@ def write_parquet(records: DataFrame, path: str, codec: str = "zstd", row_group_
         w = w.option("parquet.compression.codec.zstd.level", level)
     if row_group_bytes:
         w = w.option("parquet.block.size", str(row_group_bytes))
+    if row_group_rows:
+        w = w.option("parquet.block.row.count.limit", str(row_group_rows))
     w.parquet(path)
 
 

@@ -29,18 +29,34 @@ def parse(lines: DataFrame, blank: str = "skip", malformed: str = "fail", repeat
     value = F.col("value")
     empty = F.trim(value) == ""
     out = lines.where(~empty) if blank == "skip" else lines
-    j = F.try_parse_json(value)
+    # what follows is parsed once a row: the optimizer doesn't move filters below, or copy, what isn't deterministic
+    once = F.when(F.rand() < 2, value)
+    j = F.try_parse_json(once)
     if malformed == "fail":
         at = F.col("file_path") if "file_path" in lines.columns else F.lit("input")
-        wrong = F.raise_error(F.concat(F.lit("malformed JSON in "), at)).cast("string")
-        j = F.coalesce(j, F.try_parse_json(wrong))
-    out = out.withColumn("j", j).where(F.schema_of_variant("j").startswith("OBJECT"))
+        j = F.coalesce(j, F.try_parse_json(F.raise_error(F.concat(F.lit("malformed JSON in "), at)).cast("string")))
+    out = out.withColumn("j", j).where(F.col("j").isNotNull() & F.ltrim(value).startswith("{"))
     if repeated == "skip":
         known = F.filter(F.json_object_keys(value), lambda k: k.isin(*FIELDS))
         out = out.where(F.size(known) == F.size(F.array_distinct(known)))
     return out.withColumns({f: typed(F.col("j"), f) for f in FIELDS})
 
 
+def malformed_line(path: str) -> int | None:
+    """The first line (from 1) of a file that isn't JSON, to name it after a run has failed on the file."""
+    import json
+
+    from talkmill.sources.lines import plain_lines, window_log, zstd_lines
+
+    for n, line in enumerate(zstd_lines(path) if window_log(path) else plain_lines(path), 1):
+        try:
+            if line.strip():
+                json.loads(line)
+        except ValueError:
+            return n
+    return None
+
+
 def scan(spark: SparkSession, archive: Archive, query: Query, kinds: tuple[str, ...] = ("comment", "submission"), partial: bool = False, blank: str = "skip") -> DataFrame:
     """The records of an archive that match: files are pruned by kind and month before Spark sees them."""
     q = query.build()

@@ -21,7 +21,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, query: Q
     """Appends the matching records of files not seen before to a table partitioned by kind and month, and ends when there are no more."""
     records = parse(stream_lines(spark, folder))
     if query is not None:
-        records = records.where(query.build().column())
+        records = query.build().apply(records)
     rows = records.select("kind", "file_month", *FIELDS, F.col("value").alias("payload"))
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).option("compression", "zstd").partitionBy("kind", "file_month").trigger(availableNow=True).start()
 

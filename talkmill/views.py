@@ -10,7 +10,10 @@ from talkmill.sources.records import parse
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is spread over them, since making and parsing lines costs far more than an exchange of its rows."""
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def epoch(ts: str) -> Column:
