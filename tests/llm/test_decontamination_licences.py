@@ -179,6 +179,74 @@ def test_every_known_sentence_is_normal_and_hinted():
     for ss in L.SENTENCES.values():
         for s in ss:
             assert re.sub(L.NOISE, " ", s.lower()).strip() == s and re.search(L.HINT, s)
+    names = {k for _, rule in L.RULES for k in rule}
+    assert names <= L.SENTENCES.keys() and len({n for n, _ in L.RULES}) >= 20
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join("\n".join(mark + x for x in textwrap.wrap(p, width)) or mark.rstrip() for p in text.split("\n"))
+
+
+GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+NOTICES = {
+    "MIT": None,
+    "GPL-3.0-or-later": GNU.format("program", "General Public License", 3),
+    "GPL-2.0-or-later": GNU.format("program", "General Public License", 2),
+    "LGPL-3.0-or-later": GNU.format("library", "Lesser General Public License", 3),
+    "LGPL-2.1-or-later": GNU.format("library", "Lesser General Public License", 2.1),
+    "AGPL-3.0-or-later": GNU.format("program", "Affero General Public License", 3),
+    "BSD-2-Clause": BSD2,
+    "BSD-3-Clause": BSD2 + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_whole_notices_wrapped_and_commented(spark):
+    """Every notice at three widths and behind comment marks, among prose."""
+    rows, want = [], {}
+    for k, (name, text) in enumerate(NOTICES.items()):
+        text = text or MIT.replace("\n", "\n\n")
+        for v, (width, mark) in enumerate([(10_000, ""), (80, ""), (70, " * "), (76, "# "), (60, "// ")]):
+            rows.append((10 * k + v, "Some prose about rivers.\n\n" + wrapped(text, width, mark) + "\n\nMore prose.\n", None))
+            want[10 * k + v] = name
+    got = {r.doc_id: r.licences for r in L.scan(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_sql_tells_rows_of_one_id_apart(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, MIT, "s"), (1, "Released under the MIT License.\nx", "s"), (1, None, "s"), (2, wrapped(NOTICES["GPL-3.0-or-later"], 50, "# "), "s"), (3, "a; b: licensed under cc by 4.0", "s"), (None, BSD2, "s")]
+    frame(spark, rows).select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    key = lambda rows: sorted((str(r[0]), *r[1:]) for r in rows)
+    assert key(duckdb.sql(L.sql()).fetchall()) == key(map(tuple, L.scan(frame(spark, rows)).collect()))
 
 
 def test_scan_of_odd_rows(docs, rows, empty):
