@@ -114,6 +114,20 @@ def rebatched(batches, rows: int = 100_000):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers are reused, and others need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # not glibc
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for every node of edges (a long, b long), by alternating large and small stars.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import components, fresh, need, rebatched, staged, text_batches
+from talkmill.llm.common import components, fresh, need, rebatched, staged, text_batches, trim
 
 BITS, HALF_RADIUS, SEED, SHINGLE = 3, 1, 42, 3
 #: Home points of a part of a shard, at most; most leaves of a tree's top (fuller ones are split by hash); sampled points per leaf.
@@ -57,6 +57,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.array([fingerprint(t or b"") for t in pc.cast(b.column(1), pa.binary()).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f), *b.columns[2:]], names=["doc_id", "fp", "th"][: b.num_columns])
+    trim()
 
 
 def fingerprints(docs: DataFrame, text_hash: Column | None = None) -> DataFrame:

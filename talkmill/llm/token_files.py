@@ -18,16 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import need, new_path, staged, text_batches
+from talkmill.llm.common import need, new_path, staged, text_batches, trim
 
 END_ID = 2
 #: Bytes of text of a file, on average.
 PART_BYTES = 24 << 20
 #: Bytes of text that are cut into pieces at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Pieces that a worker remembers; then it starts anew.
 MEMO_PIECES = 700_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -114,8 +115,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        #: Piece -> its place; where each piece's ids begin and end in the ids of all pieces.
-        self.place: dict[bytes, int] = {}
+        #: 128-bit hashes of the pieces known, sorted by their first half, and their places; where each place's ids begin and end.
+        self.high, self.low, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.ends = array("I"), array("q", [0])
 
     @staticmethod
@@ -125,16 +126,25 @@ class Encoder:
         return _KEPT[file]
 
     def _places(self, pieces: list[bytes]) -> np.ndarray:
-        tokenize, place = self.library.model.tokenize, self.place
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), ">u8").reshape(-1, 2).astype(np.uint64)
+        high, low = hashes[:, 0], hashes[:, 1]
         out = np.empty(len(pieces), np.int64)
-        for k, p in enumerate(pieces):
-            at = place.get(p)
-            if at is None:
+        hit = np.zeros(len(pieces), bool)
+        if len(self.high):
+            k = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+            hit = (self.high[k] == high) & (self.low[k] == low)
+            out[hit] = self.place[k[hit]]
+        new = np.nonzero(~hit)[0]
+        if len(new):
+            tokenize, first = self.library.model.tokenize, len(self.ends) - 1
+            for k in new.tolist():
                 # the model alone takes bytes as the characters of _BYTES: a piece needs no further splitting
-                self.flat.extend([t.id for t in tokenize(p.decode("latin-1").translate(_BYTES))])
+                self.flat.extend([t.id for t in tokenize(pieces[k].decode("latin-1").translate(_BYTES))])
                 self.ends.append(len(self.flat))
-                at = place[p] = len(place)
-            out[k] = at
+            out[new] = np.arange(first, first + len(new))
+            new = new[np.argsort(high[new])]
+            at = np.searchsorted(self.high, high[new])
+            self.high, self.low, self.place = np.insert(self.high, at, high[new]), np.insert(self.low, at, low[new]), np.insert(self.place, at, out[new].astype(np.int32))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +167,7 @@ class Encoder:
                 # also where it begins in one text and ends in the next: that costs time only
                 whole[owner[at]] = True
                 at = view.find(a, at + 1)
-        if len(self.place) > MEMO_PIECES:
+        if len(self.high) > MEMO_PIECES:
             self._clear()
         ids = np.zeros(0, np.uint32)
         count = np.ones(len(texts), np.int64)
@@ -222,6 +232,7 @@ def _encode(file: str):
                 [b.column(0), pa.array(np.arange(row, row + b.num_rows)), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32)))], names=["doc_id", "row", "ids"]
             )
             row += b.num_rows
+        trim()
 
     return run
 
