@@ -52,13 +52,16 @@ def mix(df: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, most:
     A source is taken whole as often as its target allows (epochs), then in hash order up to the rest. cut: "words" takes of the
     document at the cut just the words that still fit, so a source's total is its target rounded; "documents" takes it once more
     if at least half of it fits, so every document is taken whole. Null and empty texts have size 0 and taken 0; a null source is a
-    source of its own; repeated rows are rows of their own. Columns starting with __ are reserved.
+    source of its own; repeated rows are rows of their own. Other columns pass through, whatever their names.
     """
     need(df, "doc_id", "source")
     if cut not in ("words", "documents"):
         raise ValueError(f"cut must be words or documents, not {cut!r}")
-    rows = _placed(df, size, weights, most, seed, cut, tie)
-    return rows.withColumn("taken", F.when(F.col("size") > 0, F.col("__epochs") * F.col("size") + F.col("__rest")).otherwise(0).cast("long")).select(*[c for c in df.columns if c not in NEW], *NEW)
+    kept = [c for c in df.columns if c not in NEW]
+    inner = df.select(F.struct(*kept).alias("__row"), "doc_id", "source", size.alias("__words"), (tie if tie is not None else F.lit(0)).alias("__tie"))
+    rows = _placed(inner, F.col("__words"), weights, most, seed, cut, F.col("__tie"))
+    taken = F.when(F.col("size") > 0, F.col("__epochs") * F.col("size") + F.col("__rest")).otherwise(0).cast("long")
+    return rows.withColumn("taken", taken).select(*[F.col("__row")[c].alias(c) for c in kept], *NEW)
 
 
 def _key(seed: str) -> Column:

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import need, read_staged, write_staged
+from talkmill.llm.common import fresh, need, read_staged, write_staged
 from talkmill.session import ship
 
 TOP = 1 << 192
+#: Rows that one task of the exchange sorts, about; the boundaries in hand are the shards' and one for so many rows.
+RANGE_ROWS = 500_000
 
 
 def _keys(h: np.ndarray, i: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def _refined(lo: int, hi: int, n: int) -> list[int]:
     return []
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range_bytes: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
+def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range_rows: int) -> tuple[list[int], dict[int, tuple[int, int]]]:
     """The shards - 1 boundaries, and for each candidate ever counted the exact bytes and rows below it."""
     first = max(shards * 2, 64)
     at = [TOP * t // first >> 128 << 128 for t in range(1, first)]
@@ -94,12 +96,12 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range
     while True:
         parts = _count(keys, at)
         total = rows = 0
-        spans = []  # (bytes before, bytes after, least, most)
+        spans = []  # (bytes before, bytes after, least, most, rows)
         had = {p: x for p, *x in parts}
         for t in range(len(at) + 1):
             s, r, a, z = had.get(t, (0, 0, 0, 0))
             if r:
-                spans.append((total, total + s, a, z))
+                spans.append((total, total + s, a, z, r))
             total, rows = total + s, rows + r
             if t < len(at):
                 below[at[t]] = (total, rows)
@@ -120,37 +122,38 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int, range
                 open_.discard(j)
             else:
                 more |= set(fresh)
-        wide = [x for a, z, lo, hi in spans if z - a > 2 * range_bytes for x in _refined(lo, hi, min(probes, (z - a) // range_bytes + 1)) if x not in below]
+        wide = [x for *_, lo, hi, r in spans if r > 2 * range_rows for x in _refined(lo, hi, min(probes, r // range_rows + 1)) if x not in below]
         if not open_ and not wide:
             return sorted(best.values()), below
         # with all boundaries so far, so that the next spans lie within these
         at = sorted(more.union(wide, below))
 
 
-def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str, shards: int = 24, tolerance: float = 0.005, probes: int = 32, range_bytes: int = 16 << 20) -> DataFrame:
+def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str, shards: int = 24, tolerance: float = 0.005, probes: int = 32, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 within the shard); the bytes of the shards differ by about tolerance, or by a row.
 
-    hash_col orders the rows first (ties: id_col, then an ordinal), range_bytes bounds the bytes that one task of the exchange sorts.
+    hash_col orders the rows first (ties: id_col, then an ordinal), range_rows is about the rows that one task of the exchange sorts.
     A null id or hash counts as the least number, a null size as zero. Rows equal in every column are interchangeable and may be
-    split. An empty table stays empty. Columns of df pass through, shard and slot are replaced if there;
-    the names __h, __i, __s, __o, __p, __part, __shard and __base are reserved.
+    split. An empty table stays empty. Columns of df pass through, whatever their names; shard and slot are replaced if there.
     """
     need(df, id_col, size_col)
     least = F.lit(-(1 << 63)).cast("long")
-    keyed = df.withColumns(
-        {"__h": F.coalesce(hash_col, least), "__i": F.coalesce(F.col(id_col).cast("long"), least), "__s": F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")), "__o": F.monotonically_increasing_id()}
+    kept = df.drop("shard", "slot")
+    row = fresh(df, "__row")
+    keyed = df.select(
+        F.struct(*kept.columns).alias(row), F.coalesce(hash_col, least).alias("__h"), F.coalesce(F.col(id_col).cast("long"), least).alias("__i"), F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")).alias("__s"), F.monotonically_increasing_id().alias("__o")
     )
     spark = df.sparkSession
     ship(spark)
     path = write_staged(keyed, "keys")
     keys = read_staged(spark, path)
-    cuts, below = splitters(keys, shards, tolerance, probes, range_bytes)
-    # sub-ranges: splitters, and the counted boundaries between them at least range_bytes apart
+    cuts, below = splitters(keys, shards, tolerance, probes, range_rows)
+    # sub-ranges: splitters, and the counted boundaries between them at least range_rows apart
     ends, last = [], 0
     for k in sorted(set(cuts) | set(below)):
-        if k in cuts or below[k][0] - last >= range_bytes:
+        if k in cuts or below[k][1] - last >= range_rows:
             ends.append(k)
-            last = below.get(k, (last, 0))[0]
+            last = below.get(k, (0, last))[1]
     rows = {k: below.get(k, (0, 0))[1] for k in ends}
     shard_of, offset, start, n = [], [], 0, 0
     for t in range(len(ends) + 1):
@@ -167,9 +170,9 @@ def histogram_shards(df: DataFrame, hash_col: Column, id_col: str, size_col: str
         return pd.DataFrame({"part": part.astype(np.int32), "shard": np.array(shard_of, np.int32)[part], "base": np.array(offset, np.int64)[part]})
 
     w = Window.partitionBy("__part").orderBy("__h", "__i", "__o")
-    placed = keys.withColumn("__p", place("__h", "__i", "__o")).withColumns({"__part": F.col("__p.part"), "__shard": F.col("__p.shard"), "__base": F.col("__p.base")})
-    slot = (F.col("__base") + F.row_number().over(w) - 1).cast("long")
-    return placed.select(*[c for c in df.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), slot.alias("slot"))
+    placed = keys.withColumn("__p", place("__h", "__i", "__o")).withColumn("__part", F.col("__p.part"))
+    slot = (F.col("__p.base") + F.row_number().over(w) - 1).cast("long")
+    return placed.select(*[F.col(row)[c].alias(c) for c in kept.columns], F.col("__p.shard").alias("shard"), slot.alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.005) -> DataFrame:

@@ -48,6 +48,25 @@ def test_operator_replaces_its_columns(docs):
     assert out.columns.count("shard") == 1 and out.count() == docs.count()
 
 
+def test_columns_of_any_name_pass_through(docs):
+    own = {"__h": F.lit("a"), "__s": F.lit(2.5), "__o": F.lit(1), "__k": F.lit("k"), "__row": F.col("doc_id"), "__rest": F.lit(7), "__part": F.lit("p"), "__source": F.lit("z")}
+    odd = docs.withColumns(own).withColumn("bytes", F.lit(10))
+    out = sharding.histogram_shards(odd, F.xxhash64("text"), "doc_id", "bytes", 3)
+    rest = [c for c in odd.columns if c != "shard"]
+    assert sorted(map(str, out.select(*rest).collect())) == sorted(map(str, odd.select(*rest).collect()))
+    mixed = mixing.mix(odd, F.lit(3))
+    rest = [c for c in odd.columns if c not in mixing.NEW]
+    assert sorted(map(str, mixed.select(*rest).collect())) == sorted(map(str, odd.select(*rest).collect()))
+
+
+def test_many_ranges_change_no_law(spark):
+    """Ranges far smaller than a shard: slots stay gapless and bytes equal."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), (F.col("id") % 50 + 8).alias("size"))
+    got = sharding.histogram_shards(df, F.xxhash64("doc_id"), "doc_id", "size", 7, range_rows=100)
+    by = got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m"), F.sum("size").alias("s")).collect()
+    assert len(by) == 7 and all(r.n == r.d == r.m + 1 for r in by) and max(r.s for r in by) / min(r.s for r in by) < 1.02
+
+
 def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
