@@ -146,7 +146,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner[ends - 1] = False
         tokens[inner] = own
         train = np.repeat(~out, size + 1)
-        counts = np.bincount(tokens[train], minlength=len(kinds) + 1)
+        # twice the count in training documents, and 1 if a document to score has the word
+        counts = 2 * np.bincount(tokens[train], minlength=len(kinds) + 1) + (np.bincount(tokens[~train], minlength=len(kinds) + 1) > 0)
         nulls = np.array([i is None for i in ids])
         row = (base + k, np.array([i or 0 for i in ids], np.int64).tobytes(), nulls.tobytes(), out.tobytes(), ends.astype(np.int64).tobytes(), _pack(_small(tokens)), np.append(kinds, _U(END)).tobytes(), counts.astype(np.int64).tobytes(), len(tokens), int((~out).sum()))
         return next(_sent(CHUNK, [row]))
@@ -188,28 +189,32 @@ def _cut(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     return [(k, order[cuts[k] : cuts[k + 1]]) for k in np.nonzero(np.diff(cuts))[0].tolist()]
 
 
-RANKS = "chunk long, block binary, n long, v long"
+RANKS = "chunk long, block binary, n long, v long, asked long"
 
 
 def _rank(parts: int):
-    """A part of the vocabulary: every chunk's words with rank (from 1, frequent words low: the parts deal the ranks out in turn) and
-    training count; the row without chunk sums the part up."""
+    """A part of the vocabulary: every chunk's words with rank and training count; the row without chunk sums the part up.
+
+    Ranks start at 1, and the parts deal them out in turn: frequent words low, words that no document to score has last.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         blocks = [(c, *_unpack(x)) for c, x in zip(t.column("chunk").to_pylist(), t.column("block").to_pylist(), strict=True)]
         kinds, inverse = np.unique(np.concatenate([w for _, _, w, _ in blocks]), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([n for *_, n in blocks]), len(kinds)).astype(np.int64)
+        n = np.concatenate([n.astype(np.int64) for *_, n in blocks])
+        total = np.bincount(inverse, n >> 1, len(kinds)).astype(np.int64)
+        asked = np.bincount(inverse, n & 1, len(kinds)) > 0
         rank = np.empty(len(kinds), np.int64)
-        rank[np.lexsort((kinds, -total))] = np.arange(len(kinds)) * parts + part + 1
+        rank[np.lexsort((kinds, -total, ~asked))] = np.arange(len(kinds)) * parts + part + 1
         if int(rank.max(initial=0)) >= 1 << 32:
             raise ValueError("more than 2^32 words")
         rows, at = [], 0
         for c, places, w, _ in blocks:
             k = inverse[at : at + len(w)]
             at += len(w)
-            rows.append((c, _pack(places, _small(rank[k]), _small(total[k])), 0, 0))
-        rows.append((None, None, int(total.sum()), int((total > 0).sum())))
+            rows.append((c, _pack(places, _small(rank[k]), _small(total[k])), 0, 0, 0))
+        rows.append((None, None, int(total.sum()), int((total > 0).sum()), int(asked.sum())))
         return _table(RANKS, list(_sent(RANKS, rows)))
 
     return run
@@ -424,13 +429,14 @@ def _grams(back: list[np.ndarray], hot: list[np.ndarray], at: np.ndarray) -> tup
 MOVED = "shard int, chunk long, block binary"
 
 
-def _positions(hot: list[np.ndarray], shards: int, parts: int):
+def _positions(hot: list[np.ndarray], shards: int, parts: int, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, row in _rows(batches):
             shared = _shared(x, row, parts)
             held = x.of_held()
-            # of documents to score only what no training document's start settles
-            at = np.nonzero((x.left > 1) & ~(held & (shared[np.arange(len(held)) - 1] > 0)))[0]
+            # of documents to score only what no training document's start settles, of others what one to score may ask for
+            before = np.arange(len(held)) - 1
+            at = np.nonzero((x.left > 1) & np.where(held, shared[before] == 0, x.s[before] <= last))[0]
             back = [x.before(at, k) for k in range(1, DEPTH + 1)]
             shard = _part(_grams(back, hot, at)[0], shards)
             rows = []
@@ -843,8 +849,10 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     of_parts = chunks.select("chunk", "words", "counts").mapInArrow(_words(shards), "part int, chunk long, block binary")
     ranks_path = write_staged(of_parts.groupBy("part").applyInArrow(_rank(shards), RANKS), "ranks")
     ranks = read_staged(spark, ranks_path)
-    s = ranks.where("chunk is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    s = ranks.where("chunk is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.max("asked").alias("asked")).first()
     total, kinds = s.n, s.v
+    # no document to score has a word of a higher rank
+    last = s.asked * shards
     blocks = ranks.where("chunk is not null").groupBy(F.col("chunk").alias("k")).agg(F.collect_list("block").alias("blocks"))
     full_path = write_staged(chunks.drop("words", "counts", "n", "train").join(blocks.hint("merge"), F.col("chunk") == F.col("k")).drop("k").mapInArrow(_ranked, FULL), "ranked")
     full = read_staged(spark, full_path)
@@ -862,7 +870,7 @@ def score_documents(docs: DataFrame, fold: int = 5, held_out: int = 1) -> DataFr
     # contexts that are too frequent for a shard: at most a few for each RANGE_TOKENS tokens, by counts that miss at most half
     often = thin.mapInArrow(hot_rows, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= RANGE_TOKENS // 2).collect()
     hot = [np.array(sorted(o.gram for o in often if o.level == k), np.int64).view(np.uint64) for k in range(1, DEPTH)]
-    moved = _with(thin, *told).mapInArrow(_positions(hot, shards, shards), MOVED)
+    moved = _with(thin, *told).mapInArrow(_positions(hot, shards, shards, last), MOVED)
     found = [staged(moved.groupBy("shard").applyInArrow(_settle(hot), FOUND), "found")]
     release(spark)
     # frequent contexts: counts of context and token summed over the shards
