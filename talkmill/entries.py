@@ -195,23 +195,22 @@ def events_global_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey::VARCHAR AS parent_key, l_linenumber::VARCHAR AS line, l_quantity::BIGINT AS score, o_orderpriority AS parent_title FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def lineitem_attach_order_parent(spark: SparkSession, d: str) -> DataFrame:
-    children = V.lineitem(spark, d)
-    found = P.resolve(V.orders(spark, d), P.collect_parent_ids(children))
-    got = P.attach(children, found)
-    return got.select("parent_key", F.get_json_object("value", "$.line").alias("line"), "score", F.get_json_object("parent_payload", "$.title").alias("parent_title"))
+    children = V.lineitem(spark, d).select("parent_id", "created_utc", "score", F.try_variant_get("j", "$.line", "string").alias("line"))
+    titles = P.payloads(V.orders(spark, d)).withColumn("payload", F.get_json_object("payload", "$.title"))
+    return P.attach(children, titles).select("parent_key", "line", "score", F.col("parent_payload").alias("parent_title"))
 
 
 @query("SELECT c.conv_id || '_' || c.turn AS id, p.text AS parent_body FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
 def conversations_attach_previous_turn(spark: SparkSession, d: str) -> DataFrame:
     records = V.conversations(spark, d)
-    got = P.attach(records, P.resolve(records, P.collect_parent_ids(records)))
+    got = P.attach(records, P.payloads(records))
     return got.select("id", F.get_json_object("parent_payload", "$.body").alias("parent_body"))
 
 
 @query("SELECT count(*) FILTER (p.conv_id IS NOT NULL) AS resolved, count(*) FILTER (p.conv_id IS NULL) AS unresolved FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1")
 def conversations_unresolved_parents(spark: SparkSession, d: str) -> DataFrame:
     records = V.conversations(spark, d)
-    got = P.attach(records, P.resolve(records, P.collect_parent_ids(records)))
+    got = P.attach(records, P.payloads(records))
     return got.agg(F.count("parent_payload").alias("resolved"), F.count_if(F.col("parent_payload").isNull()).alias("unresolved"))
 
 

@@ -78,6 +78,12 @@ def number(x: Column) -> Column:
 
 def long(x: Column) -> Column:
     """An integer, an integral float, or a string of either, if it fits 64 bits."""
+    # a lambda keeps the rare forms out of the generated code: the JVM doesn't compile methods above 8,000 bytes, which two of them exceed
+    rare = F.get(F.transform(F.array(x), _long_of_other), 0)
+    return F.when(F.schema_of_variant(x) == "BIGINT", F.try_variant_get(x, "$", "bigint")).when(x.isNotNull(), rare)
+
+
+def _long_of_other(x: Column) -> Column:
     t = F.schema_of_variant(x)
     s = F.try_variant_get(x, "$", "string")
     d, dec, f = F.try_variant_get(x, "$", "double"), F.try_variant_get(x, "$", "decimal(38,18)"), s.try_cast("double")
@@ -85,7 +91,6 @@ def long(x: Column) -> Column:
     of_text = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("decimal(38,0)").try_cast("bigint")).when(s.rlike(NUMERIC), whole)
     return (
         F.when(t == "STRING", of_text)
-        .when(t == "BIGINT", F.try_variant_get(x, "$", "bigint"))
         .when(t.startswith("DECIMAL"), F.when(dec == F.floor(dec), dec.try_cast("bigint")))
         .when(t == "DOUBLE", F.when((d == F.floor(d)) & (F.abs(d) < 9.223372036854775e18), d.try_cast("bigint")))
     )

@@ -47,11 +47,16 @@ def payload_column(fields: list[str] | None = None, full: bool = False) -> Colum
     return F.when(F.col("kind") == "comment", comment).otherwise(submission)
 
 
+def payloads(corpus: DataFrame, fields: list[str] | None = None, full: bool = False) -> DataFrame:
+    """(kind, id, file_month, payload) of all records with an id. Attached to children it gives what resolve with their ids gives, without
+    reading the children twice: for a corpus of which most records are parents."""
+    return corpus.where("id <> ''").select("kind", "id", "file_month", payload_column(fields, full).alias("payload")).where("payload is not null")
+
+
 def resolve(corpus: DataFrame, ids: DataFrame, fields: list[str] | None = None, full: bool = False) -> DataFrame:
     """(kind, id, file_month, payload) of the wanted records. corpus: records of the months to look in, without query filters."""
     wanted = ids.select(F.col("kind").alias("__kind"), F.col("id").alias("__id"))
-    hit = corpus.join(wanted, (F.col("kind") == F.col("__kind")) & (F.col("id") == F.col("__id")), "left_semi")
-    return hit.select("kind", "id", "file_month", payload_column(fields, full).alias("payload")).where("payload is not null")
+    return payloads(corpus.join(wanted, (F.col("kind") == F.col("__kind")) & (F.col("id") == F.col("__id")), "left_semi"), fields, full)
 
 
 def attach(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -60,12 +65,13 @@ def attach(children: DataFrame, parents: DataFrame) -> DataFrame:
     An id found in several months is taken from the child's own month, else from the latest one.
     """
     p = parents.select(F.col("kind").alias("__kind"), F.col("id").alias("__id"), F.coalesce("file_month", F.lit("")).alias("__month"), F.col("payload").alias("__payload"))
-    # one row an id before the join: months of an id are few, so a map by month keeps own-month preference without a second join
-    once = p.groupBy("__kind", "__id", "__month").agg(F.min("__payload").alias("__payload"))
-    once = once.groupBy("__kind", "__id").agg(F.map_from_entries(F.collect_list(F.struct("__month", "__payload"))).alias("__by"), F.max_by("__payload", "__month").alias("__last"))
+    # one row an id before the join: months of an id are few, so a map by month keeps own-month preference without a second join;
+    # one exchange by id serves both steps and the join; ids come first, as sorts compare the start of the first key only where they can
+    once = p.repartition("__id", "__kind").groupBy("__id", "__kind", "__month").agg(F.min("__payload").alias("__payload"))
+    once = once.groupBy("__id", "__kind").agg(F.map_from_entries(F.collect_list(F.struct("__month", "__payload"))).alias("__by"), F.max_by("__payload", "__month").alias("__last"))
     c = children.withColumns({"parent_kind": _prefix_kind(F.col("parent_id")), "parent_key": F.substring("parent_id", 4, 1 << 30)})
-    joined = c.join(once, (F.col("parent_kind") == F.col("__kind")) & (F.col("parent_key") == F.col("__id")), "left")
-    own = F.try_element_at(F.col("__by"), F.coalesce(text.month_part(F.col("created_utc")), F.lit("")))
+    joined = c.join(once, (F.col("parent_key") == F.col("__id")) & (F.col("parent_kind") == F.col("__kind")), "left")
+    own = F.when(F.size("__by") > 1, F.try_element_at(F.col("__by"), F.coalesce(text.month_part(F.col("created_utc")), F.lit(""))))
     return joined.withColumn("parent_payload", F.coalesce(own, F.col("__last"))).drop("__kind", "__id", "__by", "__last")
 
 

@@ -20,6 +20,11 @@ def typed(j: Column, name: str) -> Column:
     return pointer.text(x) if kind == "string" else pointer.long(x) if kind == "long" else pointer.boolean(x)
 
 
+def once(c: Column) -> Column:
+    """c, computed once a row: the optimizer doesn't move filters below, or copy, what isn't deterministic. It knows that rand() < 2."""
+    return F.when(F.rand() + 1 > 0, c)
+
+
 def parse(lines: DataFrame, blank: str = "skip", malformed: str = "fail", repeated: str = "skip") -> DataFrame:
     """Lines (value, ...) with j VARIANT and the typed fields of FIELDS.
 
@@ -29,16 +34,14 @@ def parse(lines: DataFrame, blank: str = "skip", malformed: str = "fail", repeat
     value = F.col("value")
     empty = F.trim(value) == ""
     out = lines.where(~empty) if blank == "skip" else lines
-    # what follows is parsed once a row: the optimizer doesn't move filters below, or copy, what isn't deterministic
-    once = F.when(F.rand() < 2, value)
-    j = F.try_parse_json(once)
+    j = F.try_parse_json(once(value))
     if malformed == "fail":
         at = F.col("file_path") if "file_path" in lines.columns else F.lit("input")
         j = F.coalesce(j, F.try_parse_json(F.raise_error(F.concat(F.lit("malformed JSON in "), at)).cast("string")))
     out = out.withColumn("j", j).where(F.col("j").isNotNull() & F.ltrim(value).startswith("{"))
     if repeated == "skip":
         known = F.filter(F.json_object_keys(value), lambda k: k.isin(*FIELDS))
-        out = out.where(F.size(known) == F.size(F.array_distinct(known)))
+        out = out.where(F.exists(F.array(known), lambda ks: F.size(ks) == F.size(F.array_distinct(ks))))  # a lambda's argument is computed once
     return out.withColumns({f: typed(F.col("j"), f) for f in FIELDS})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.session import prepare
-from talkmill.sources.records import parse
+from talkmill.sources.records import once, parse
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def lines(df: DataFrame, kind: str, extra: Column | None = None, **fields: Colum
     body = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
     if extra is not None:
         body = F.concat(F.regexp_replace(body, r"\}$", ","), extra, F.lit("}"))
-    return df.select(body.alias("value"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file_month"))
+    return df.select(once(body).alias("value"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file_month"))
 
 
 def _text(prefix: str, column: str) -> Column:
